@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that the operators rely on; sizes are left to the cluster.
 SETTINGS = {
@@ -62,3 +63,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else as it is.
+
+    The rows are counted first (up to the bound), so what is broadcast has a checked size;
+    a larger side is left to a shuffled join.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
