@@ -72,3 +72,8 @@ def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     a larger side is left to a shuffled join.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def parallel(spark: SparkSession) -> int:
+    """Partitions for a stage of Python work, which adaptive execution would merge by its small input."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
