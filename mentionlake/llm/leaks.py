@@ -25,8 +25,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mentionlake.functions.binding import let
 from mentionlake.llm.folding import skeleton
-from mentionlake.session import small
+from mentionlake.session import parallel, small
 
 K, WINDOW, LEAST, STEP = 3, 2, 12, 3
 
@@ -38,47 +39,66 @@ def words(text: Column) -> Column:
 
 def kept_hashes(w: Column, k: int = K, window: int = WINDOW) -> Column:
     """The winnowed fingerprints of an array of words."""
-    n = F.size(w) - k + 1
-    grams = F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(w, i, k)))).otherwise(F.expr("cast(array() as array<bigint>)"))
-    spans = F.greatest(F.size(grams) - window + 1, F.lit(1))
-    least = F.transform(F.sequence(F.lit(1), spans), lambda i: F.array_min(F.slice(grams, i, window)))
-    return F.when(n >= 1, F.array_distinct(least)).otherwise(grams)
+    none = F.expr("cast(array() as array<bigint>)")
 
+    def grams(w: Column) -> Column:
+        return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k)))).otherwise(none)
 
-def chain(item: tuple[str, ...] | list[str], doc: list[str | None], k: int = K, step: int = STEP, around: int = 40) -> list[tuple[int, int]]:
+    def least(g: Column) -> Column:
+        return F.when(F.size(g) > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - window + 1, F.lit(1))), lambda i: F.array_min(F.slice(g, i, window))))).otherwise(none)
+
+    return let(let(w, grams), least)
+
+
+class Text:
+    """The words of a document with the places of its k-grams; words may be taken out."""
+
+    def __init__(self, words: list[str], k: int = K):
+        self.words: list[str | None] = list(words)
+        self.grams: dict[tuple, list[int]] = {}
+        for d in range(len(words) - k + 1):
+            self.grams.setdefault(tuple(words[d : d + k]), []).append(d)
+
+    def take(self, begin: int, end: int) -> None:
+        self.words[begin:end] = [None] * (end - begin)
+
+
+def chain(item: tuple[str, ...] | list[str], doc: Text, k: int = K, step: int = STEP, around: int = 16) -> list[tuple[int, int]]:
     """The longest chain of (item position, document position) of equal words in order.
 
     A link steps over at most step - 1 words on either side.  Only stretches of the
-    document near words that k-grams of the item hit are searched.
+    document near k-grams of the item are searched.
     """
-    grams: dict[tuple, list[int]] = {}
-    item = list(item)
+    words, near = doc.words, set()
     for i in range(len(item) - k + 1):
-        grams.setdefault(tuple(item[i : i + k]), []).append(i)
-    near: set[int] = set()
-    for d in range(len(doc) - k + 1):
-        if tuple(doc[d : d + k]) in grams:
-            near.update(range(max(0, d - around), min(len(doc), d + k + around)))
+        for d in doc.grams.get(tuple(item[i : i + k]), ()):
+            if words[d] is not None:
+                near.update(range(max(0, d - around), min(len(words), d + k + around)))
     at: dict[str, list[int]] = {}
     for i, w in enumerate(item):
         at.setdefault(w, []).append(i)
-    best: dict[tuple[int, int], tuple[int, tuple | None]] = {}
-    top = None
+    ends: dict[int, dict[int, tuple[int, tuple | None]]] = {}  # document position -> item position -> (length, link before)
+    top, most = None, 0
     for d in sorted(near):
-        for i in at.get(doc[d], ()):
+        places = at.get(words[d])
+        if not places:
+            continue
+        rows = [(b, r) for b in range(1, step + 1) if (r := ends.get(d - b))]
+        here = ends[d] = {}
+        for i in places:
             score, back = 1, None
-            for a in range(1, step + 1):
-                for b in range(1, step + 1):
-                    got = best.get((i - a, d - b))
+            for b, r in rows:
+                for a in range(i - 1, i - step - 1, -1):
+                    got = r.get(a)
                     if got and got[0] >= score:
-                        score, back = got[0] + 1, (i - a, d - b)
-            best[(i, d)] = (score, back)
-            if top is None or score > best[top][0]:
-                top = (i, d)
+                        score, back = got[0] + 1, (a, d - b)
+            here[i] = (score, back)
+            if score > most:
+                top, most = (i, d), score
     out = []
     while top is not None:
         out.append(top)
-        top = best[top][1]
+        top = ends[top[1]][top[0]][1]
     return out[::-1]
 
 
@@ -92,18 +112,17 @@ def leaked(doc: list[str], items: list[tuple[int, list[str]]], least: int = LEAS
     same: dict[tuple, list[int]] = {}
     for item_id, item in items:
         same.setdefault(tuple(item), []).append(item_id)
-    waiting = [(len(c), -min(ids), item, c) for item, ids in same.items() if _counts(c := chain(item, doc), least)]
-    out, free = [], list(doc)
+    free, out = Text(doc), []
+    waiting = [(len(c), -min(ids), item, c) for item, ids in same.items() if _counts(c := chain(item, free), least)]
     while waiting:
         waiting.sort(key=lambda x: x[:2])
         _, _, item, c = waiting.pop()
-        if any(free[d] is None for _, d in c):  # part of it belongs to a longer chain: look at the rest
+        if any(free.words[d] is None for _, d in c):  # part of it belongs to a longer chain: look at the rest
             if _counts(c := chain(item, free), least):
                 waiting.append((len(c), -min(same[item]), item, c))
             continue
         out += [(i, c[-1][0] - c[0][0] + 1) for i in same[item]]
-        for d in range(c[0][1], c[-1][1] + 1):
-            free[d] = None
+        free.take(c[0][1], c[-1][1] + 1)
     return out
 
 
@@ -116,7 +135,7 @@ def leaks(documents: DataFrame, items: DataFrame, k: int = K, window: int = WIND
     pairs = hits.select("doc_id", F.explode("ids").alias("item_id")).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= 2)
     with_items = pairs.join(it, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_words")).alias("items"))
     # The words of a document are made again only where a candidate remains.
-    rows = documents.select("doc_id", "text").join(with_items, "doc_id").select("doc_id", words(F.col("text")).alias("w"), "items")
+    rows = documents.select("doc_id", "text").join(with_items, "doc_id").select("doc_id", words(F.col("text")).alias("w"), "items").repartition(parallel(documents.sparkSession), "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
