@@ -20,6 +20,7 @@ whole; repeated rows are judged alike; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -34,8 +35,9 @@ from mentionlake.llm.languages import texts_of
 LABELS = ("none", "email", "phone", "id_number", "address", "name")
 NONE, EMAIL, PHONE, ID, ADDRESS, NAME = range(6)
 SAMPLE_ROWS, EPOCHS, ROUNDS, REACH = 3000, 25, 3, 3
-#: A text goes to message passing if some label is within this score of "none" at a token.
-NEAR = 5.0
+#: A text goes to message passing if some label is within this score of "none" at a token,
+#: from so many tokens before the first such token to as many after the last.
+NEAR, AROUND = 4.0, 8
 
 # Words that introduce or follow what they name, in the coarse form of a word.
 NAME_BEFORE = ("my name is", "jina langu ni", "naitwa", "ich heisse", "ich heiße", "je m'appelle", "regards ,", "ask for", "uliza", "muulizie", "demandez", "fragt nach", "thanks to", "asante sana", "merci a", "merci à", "danke an", "huyo", "nilihudumiwa na")
@@ -47,15 +49,51 @@ BOX_WORDS = set("p.o. box s.l.p s.l.p. b.p. postfach plot house nyumba".split())
 STREETS = set("road lane avenue close street drive rue barabara mtaa".split())
 
 _FOLD = {ord(a): b for a, b in LOOKALIKES.items()} | {ord(c): None for c in INVISIBLE if c != "‍"} | {ord(c): " " for c in SPACES} | {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {c: None for c in range(0x300, 0x370)}
-_TOKEN = re.compile(
-    r"(?P<email>(?:<?mailto:)?[\w.+-]+(?:\s?[\[(]dot[\])]\s?[\w.+-]+)*\s?(?:@|\[at\]|\(at\))\s?[\w-]+(?:(?:\.|\s?(?:\[dot\]|\(dot\))\s?)[\w-]+)+>?|\w+(?: (?:dot|punkt|point|nukta) \w+)* at \w+(?: dot \w+)+)"
-    r"|(?P<tag>[#@][\w.]+|https?://\S+|\*\d+#)"
-    r"|(?P<number>(?<![\w])(?:[A-Za-z]{1,3}-?(?=\d))?[+(]*\d+(?:(?:[ ./-]|,(?=\d{3}(?!\d))|\)[ -]?| \()\d+)*(?:-?[A-Za-z](?!\w))?(?!\w))"
-    r"|(?P<initial>(?:[A-Za-z]\.){2,}[A-Za-z]?\.?|(?<!\w)[A-ZÀ-Þ]\.)"
-    r"|(?P<word>[^\W\d_]+(?:['’-][^\W\d_]+)*)"
-    r"|(?P<mark>[.,:;!?/\n-])",
-    re.IGNORECASE,
+_WORD = r"[^\W\d_]{2,}(?:['’-][^\W\d_]+)*(?!\w)"
+_REST = (
+    r"[#@][\w.]+|https?://\S+|\*\d+#"
+    r"|(?<!\w)(?:[A-Za-z]{1,3}-?(?=\d))?[+(]*\d+(?:(?:[ ./-]|,(?=\d{3}(?!\d))|\)[ -]?| \()\d+)*(?:-?[A-Za-z](?!\w))?(?!\w)"
+    r"|(?:[A-Za-z]\.){2,}[A-Za-z]?\.?|(?<!\w)[A-ZÀ-Þ]\.|[^\W\d_]+(?:['’-][^\W\d_]+)*|[.,:;!?/\n-]"
 )
+_MAIL = (
+    r"(?:<?mailto:)?[\w.+-]+(?:\s?[\[(]dot[\])]\s?[\w.+-]+)*\s?(?:@|\[at\]|\(at\))\s?[\w-]+(?:(?:\.|\s?(?:\[dot\]|\(dot\))\s?)[\w-]+)+>?"
+    r"|\w+(?: (?:dot|punkt|point|nukta) \w+)* at \w+(?: dot \w+)+"
+)
+#: Without and with addresses of e-mail; a text that has no sign of one needs no look for them.
+_PLAIN = re.compile(f"{_WORD}|{_REST}")
+_MAILED = re.compile(f"{_MAIL}|{_WORD}|{_REST}", re.IGNORECASE)
+_SIGN = re.compile(r"@\w|\s@\s|[\[(]at[\])]| at \w+ dot ", re.IGNORECASE)
+_IS_MAIL = re.compile(f"(?:{_MAIL})", re.IGNORECASE)
+
+
+_NEEDS_FOLD = re.compile("[" + "".join(map(re.escape, map(chr, sorted(_FOLD)))) + "]")
+
+
+def fold(text: str) -> str:
+    """Full-width forms, look-alikes, spaces and unseen signs set right, for reading only."""
+    return text.translate(_FOLD) if not text.isascii() and _NEEDS_FOLD.search(text) else text
+
+
+def _pattern(text: str) -> re.Pattern:
+    return _MAILED if _SIGN.search(text) else _PLAIN
+
+
+@functools.lru_cache(maxsize=200_000)
+def classify(said: str) -> tuple[str, str]:
+    """(word key, kind) of a token."""
+    c = said[0]
+    if c in ".,:;!?/\n-" and len(said) == 1:
+        return said, "mark"
+    if len(said) > 5 and _IS_MAIL.fullmatch(said):
+        return "email", "email"
+    if c in "#@*" or said.startswith("http"):
+        return "tag", "tag"
+    if any(x.isdigit() for x in said):
+        key = shape(said)
+        return key, number_kind(key)
+    if "." in said:
+        return said.lower(), "initial"
+    return said.lower(), "upper" if len(said) > 1 and said.isupper() else "capital" if c.isupper() else "lower"
 
 
 def shape(number: str) -> str:
@@ -89,20 +127,10 @@ class Tokens:
     __slots__ = ("keys", "kinds", "spans")
 
     def __init__(self, text: str):
+        folded = fold(text)
         self.keys, self.kinds, self.spans = [], [], []
-        folded = text.translate(_FOLD)
-        for m in _TOKEN.finditer(folded):
-            kind, said = m.lastgroup, m.group()
-            if kind == "word":
-                key = said.lower()
-                kind = "upper" if said.isupper() and len(said) > 1 else "capital" if said[0].isupper() else "lower"
-            elif kind == "number":
-                key = shape(said)
-                kind = number_kind(key)
-            elif kind in ("email", "tag"):
-                key = kind
-            else:
-                key = said.lower()
+        for m in _pattern(folded).finditer(folded):
+            key, kind = classify(m.group())
             self.keys.append(key)
             self.kinds.append(kind)
             self.spans.append(m.span())
@@ -199,12 +227,14 @@ class Field:
         self.skip = np.zeros(k, np.float32)
 
     def ids(self, t: Tokens) -> tuple[list[int], list[int]]:
-        get, known = self.words.get, self.known
-        kinds = [_KIND[x] for x in t.kinds]
-        for i, (x, kind) in enumerate(zip(t.keys, t.kinds)):
-            if kind in ("lower", "capital", "upper") and (x in known or ("-" in x and all(part in known for part in x.split("-")))):
-                kinds[i] = _KIND["known_lower" if kind == "lower" else "known"]
-        return [get(x, 1) for x in t.keys], kinds
+        both = [self.ids_of(x, kind) for x, kind in zip(t.keys, t.kinds)]
+        return [a for a, _ in both], [b for _, b in both]
+
+    def ids_of(self, key: str, kind: str) -> tuple[int, int]:
+        known = self.known
+        if kind in ("lower", "capital", "upper") and (key in known or ("-" in key and all(part in known for part in key.split("-")))):
+            kind = "known_lower" if kind == "lower" else "known"
+        return self.words.get(key, 1), _KIND[kind]
 
     def emissions(self, ids: list[list[int]], kinds: list[list[int]], rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray, tuple]:
         """Scores of all tokens of many texts laid end to end, with edges between them."""
@@ -260,12 +290,13 @@ class Field:
         return np.exp(belief - _lse(belief, 2)[:, :, None])
 
 
-def skip_links(texts: list[Tokens], most_apart: int = 4) -> np.ndarray:
-    """(text, token, token): each capitalised token or number to the next of the same key."""
+def skip_links(texts: list[Tokens], windows: list[tuple[int, int]] | None = None) -> np.ndarray:
+    """(text, token, token): each capitalised token to the next of the same key, within the window."""
     out = []
     for i, t in enumerate(texts):
         last: dict[str, int] = {}
-        for j, (key, kind) in enumerate(zip(t.keys, t.kinds)):
+        lo, hi = windows[i] if windows else (0, len(t.keys))
+        for j, (key, kind) in enumerate(zip(t.keys[lo:hi], t.kinds[lo:hi])):
             if kind in ("capital", "upper", "email") and len(key) > 3:
                 if key in last:
                     out.append((i, last[key], j))
@@ -361,31 +392,80 @@ def train(texts: list[str], epochs: int = EPOCHS, rate: float = 0.3, l2: float =
     return field
 
 
-def tag(texts: list[str], field: Field) -> list[tuple[Tokens, np.ndarray] | None]:
-    """Per text: its tokens and their labels, or None where nothing comes near a label."""
-    out: list[tuple[Tokens, np.ndarray] | None] = [None] * len(texts)
-    toks = [Tokens(t) if t else None for t in texts]
-    live = [i for i, t in enumerate(toks) if t is not None and t.keys]
-    coded = [field.ids(toks[i]) for i in live]
-    if not live:
+class Reader:
+    """Scores texts by a field: each distinct token is classified once, then only looked up."""
+
+    def __init__(self, field: Field, most: int = 300_000):
+        self.field, self.most = field, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.word, self.kind = [0], [0]  # row 0 is an edge
+
+    def rows(self, tokens: list[str]) -> list[int]:
+        seen, out = self.seen, []
+        for x in tokens:
+            i = seen.get(x)
+            if i is None:
+                i = seen[x] = len(self.word)
+                word, kind = self.field.ids_of(*classify(x))
+                self.word.append(word)
+                self.kind.append(kind)
+            out.append(i)
         return out
-    score, at, _ = field.emissions([c[0] for c in coded], [c[1] for c in coded])
-    margin = score[:, 1:].max(1) - score[:, 0]
-    ends = at + np.array([len(c[0]) for c in coded])
-    near = np.maximum.reduceat(np.append(margin, -1e9), np.stack([at, ends], 1).reshape(-1))[::2] > -NEAR
-    hot = np.flatnonzero(near)
-    for group in _batches([len(coded[j][0]) for j in hot]):
-        chosen = hot[group]
-        mine = [toks[live[j]] for j in chosen]
-        lengths = np.array([len(t.keys) for t in mine])
-        width = int(lengths.max())
-        index = at[chosen][:, None] + np.minimum(np.arange(width), lengths[:, None] - 1)
-        e = np.where((np.arange(width) < lengths[:, None])[:, :, None], score[index], 0)
-        p = field.marginals(e, lengths, skip_links(mine))
-        best = p.argmax(2)
-        for r, j in enumerate(chosen):
-            out[live[j]] = (mine[r], best[r, : lengths[r]])
-    return out
+
+    def tag(self, texts: list[str | None]) -> list[tuple[Tokens, np.ndarray] | None]:
+        """Per text: its tokens and their labels, or None where nothing comes near a label."""
+        field, out = self.field, [None] * len(texts)
+        if len(self.word) > self.most:
+            self.forget()
+        live, at, flat = [], [], [0] * REACH
+        for i, text in enumerate(texts):
+            if text:
+                folded = fold(text)
+                tokens = _pattern(folded).findall(folded)
+                if tokens:
+                    live.append(i)
+                    at.append((len(flat), len(flat) + len(tokens)))
+                    flat += self.rows(tokens)
+                    flat += [0] * REACH
+        if not live:
+            return out
+        row, words, kinds = np.array(flat, np.int64), np.array(self.word, np.int64), np.array(self.kind, np.int64)
+        used, row = np.unique(row, return_inverse=True)
+        n = len(row)
+        score = np.zeros((n - 2 * REACH, len(LABELS)), np.float32)
+        for o in range(2 * REACH + 1):
+            score += (field.w[o][words[used]] + field.k[o][kinds[used]])[row[o : n - 2 * REACH + o]]
+        near = score[:, 1:].max(1) - score[:, 0] > -NEAR
+        before = np.concatenate(([0], np.cumsum(near)))
+        jobs = []
+        for i, (a, b) in zip(live, at):
+            a, b = a - REACH, b - REACH
+            if before[b] > before[a]:
+                hits = np.flatnonzero(near[a:b])
+                jobs.append((i, a, max(0, int(hits[0]) - AROUND), min(b - a, int(hits[-1]) + 1 + AROUND)))
+        tokens = [Tokens(texts[i]) for i, *_ in jobs]
+        for group in _batches([hi - lo for _, _, lo, hi in jobs]):
+            lengths = np.array([jobs[g][3] - jobs[g][2] for g in group])
+            width = int(lengths.max())
+            begin = np.array([jobs[g][1] + jobs[g][2] for g in group])
+            index = begin[:, None] + np.minimum(np.arange(width), lengths[:, None] - 1)
+            e = np.where((np.arange(width) < lengths[:, None])[:, :, None], score[index], 0)
+            p = field.marginals(e, lengths, skip_links([tokens[g] for g in group], [jobs[g][2:] for g in group]))
+            best = p.argmax(2)
+            for r, g in enumerate(group):
+                i, _, lo, hi = jobs[g]
+                labels = np.zeros(len(tokens[g].keys), np.int64)
+                labels[lo:hi] = best[r, : hi - lo]
+                if labels.any():
+                    out[i] = (tokens[g], labels)
+        return out
+
+
+def tag(texts: list[str | None], field: Field) -> list[tuple[Tokens, np.ndarray] | None]:
+    return Reader(field).tag(texts)
 
 
 def entities(tokens: Tokens, labels: np.ndarray) -> list[tuple[int, int, str]]:
@@ -431,14 +511,14 @@ def personal(posts: DataFrame, field: Field | None = None) -> DataFrame:
     shared = posts.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        reader = Reader(shared.value)
         for b in batches:
             keys, places, clean, kinds = [], [], [], []
-            for key, pos, text, got in zip(b["post_key"], b["pos"], b["text"], tag(b["text"].tolist(), model)):
+            for key, pos, text, got in zip(b["post_key"], b["pos"], b["text"], reader.tag(b["text"].tolist())):
                 found = entities(*got) if got else []
                 if not found:
                     continue
-                folded, parts, last = text.translate(_FOLD), [], 0
+                folded, parts, last = fold(text), [], 0
                 for x, y, kind in found:
                     parts += [folded[last:x], f"[{kind.upper()}]"]
                     last = y
