@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 
 from mentionlake import lexicon as L
 from mentionlake.functions import text as X
+from mentionlake.functions.binding import let
 
 #: Least lengths of trimmed texts for language, sentiment and comments.
 LEAST_LANGUAGE, LEAST_SENTIMENT, LEAST_COMMENT = 10, 5, 5
@@ -26,45 +27,56 @@ def language(text: Column, hint: Column | None = None, markers: Mapping = L.MARK
     (0.5 + 0.1 each, 0.95 at most), English words with two Swahili ones mean mixed (0.7), else
     the language with most markers (0.85); unknown for short texts and without any marker.
     A hint that is not empty wins."""
-    tokens = X.distinct_tokens(text)
-    n = {k: marker_hits(tokens, v) for k, v in markers.items()}
-    most = F.greatest(n["english"], n["swahili"], n["french"], n["german"])
-    best = F.when(most == 0, F.lit("unknown"))
-    for k in ("english", "swahili", "french", "german"):
-        best = best.when(n[k] == most, F.lit(k))
-    sheng = (F.least(50 + 10 * n["sheng"], F.lit(95)).cast("decimal(5,2)") / 100).cast("double")
-    pair = lambda lang, conf: F.struct(lang.alias("language"), conf.alias("confidence"))
-    found = (
-        F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) < LEAST_LANGUAGE, pair(F.lit("unknown"), F.lit(0.0)))
-        .when(n["sheng"] >= 2, pair(F.lit("sheng"), sheng))
-        .when((best == "english") & (n["swahili"] >= 2), pair(F.lit("mixed"), F.lit(0.7)))
-        .otherwise(pair(best, F.when(best == "unknown", F.lit(0.0)).otherwise(F.lit(0.85))))
-    )
-    if hint is not None:
-        found = F.when(F.trim(hint) != "", pair(F.lower(F.trim(hint)), F.lit(1.0))).otherwise(found)
-    return F.struct(found["language"].alias("language"), found["confidence"].alias("confidence"), n["sheng"].alias("sheng"), n["swahili"].alias("swahili"))
+    counts = let(X.distinct_tokens(text), lambda t: F.array(*[marker_hits(t, v) for v in markers.values()]))
+
+    def decide(c: Column) -> Column:
+        n = {k: F.element_at(c, i + 1) for i, k in enumerate(markers)}
+        most = F.greatest(n["english"], n["swahili"], n["french"], n["german"])
+        best = F.when(most == 0, F.lit("unknown"))
+        for k in ("english", "swahili", "french", "german"):
+            best = best.when(n[k] == most, F.lit(k))
+        sheng = (F.least(50 + 10 * n["sheng"], F.lit(95)).cast("decimal(5,2)") / 100).cast("double")
+        pair = lambda lang, conf: F.struct(lang.alias("language"), conf.alias("confidence"), n["sheng"].alias("sheng"), n["swahili"].alias("swahili"))
+        found = (
+            F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) < LEAST_LANGUAGE, pair(F.lit("unknown"), F.lit(0.0)))
+            .when(n["sheng"] >= 2, pair(F.lit("sheng"), sheng))
+            .when((best == "english") & (n["swahili"] >= 2), pair(F.lit("mixed"), F.lit(0.7)))
+            .otherwise(pair(best, F.when(best == "unknown", F.lit(0.0)).otherwise(F.lit(0.85))))
+        )
+        if hint is not None:
+            found = F.when(F.trim(hint) != "", pair(F.lower(F.trim(hint)), F.lit(1.0))).otherwise(found)
+        return found
+
+    return let(counts, decide)
 
 
 def keywords(text: Column, lang: Column, table: Mapping) -> Column:
     """Keywords of a polarity in a text: English always, Swahili for swahili, sheng and mixed,
     sheng for sheng and mixed; single words by token, longer ones by containment."""
-    tokens, lower = X.distinct_tokens(text), F.lower(F.coalesce(text, F.lit("")))
     empty = F.expr("cast(array() as array<string>)")
     gates = {"english": F.lit(True), "swahili": lang.isin("swahili", "sheng", "mixed"), "sheng": lang.isin("sheng", "mixed")}
-    out = empty
-    for k, words in table.items():
-        single, longer = [w for w in words if " " not in w], [w for w in words if " " in w]
-        found = F.array_intersect(F.array(*[F.lit(w) for w in single]), tokens) if single else empty
-        if longer:
-            found = F.concat(found, X.contained(lower, longer))
-        out = F.concat(out, F.when(gates.get(k, F.lit(True)), found).otherwise(empty))
-    return F.array_distinct(out)
+
+    def find(tokens: Column) -> Column:
+        lower, out = F.lower(F.coalesce(text, F.lit(""))), []
+        for k, words in table.items():
+            single, longer = [w for w in words if " " not in w], [w for w in words if " " in w]
+            found = F.array_intersect(F.array(*[F.lit(w) for w in single]), tokens) if single else empty
+            if longer:
+                found = F.concat(found, X.contained(lower, longer))
+            out.append(F.when(gates.get(k, F.lit(True)), found).otherwise(empty))
+        return F.array_distinct(F.concat(*out))
+
+    return let(X.distinct_tokens(text), find)
 
 
 def lexicon_score(positive: Column, negative: Column) -> Column:
     """(p - n) / (p + n) from the keywords, 0 without any."""
-    p, n = F.size(positive), F.size(negative)
-    return F.when(p + n > 0, F.round((p - n).cast("decimal(10,0)") / (p + n).cast("decimal(10,0)"), 4).cast("double")).otherwise(F.lit(0.0))
+
+    def score(c: Column) -> Column:
+        p, n = F.element_at(c, 1), F.element_at(c, 2)
+        return F.when(p + n > 0, F.round((p - n).cast("decimal(10,0)") / (p + n).cast("decimal(10,0)"), 4).cast("double")).otherwise(F.lit(0.0))
+
+    return let(F.array(F.size(positive), F.size(negative)), score)
 
 
 def label_of(score: Column) -> Column:
@@ -123,8 +135,7 @@ def comment_scores(df: DataFrame, comments: str, most: int) -> Column:
     kept = F.filter(first, lambda c: F.length(F.trim(F.coalesce(c["text"], F.lit("")))) >= LEAST_COMMENT)
 
     def score(c: Column) -> Column:
-        lang = language(c["text"])["language"]
-        return lexicon_score(keywords(c["text"], lang, L.POSITIVE), keywords(c["text"], lang, L.NEGATIVE))
+        return let(language(c["text"])["language"], lambda lang: lexicon_score(keywords(c["text"], lang, L.POSITIVE), keywords(c["text"], lang, L.NEGATIVE)))
 
     total = F.aggregate(F.transform(kept, score), F.lit(0.0), lambda a, x: a + x)
     return F.when(F.size(kept) > 0, F.round(total / F.size(kept), 4))
