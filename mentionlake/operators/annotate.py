@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from mentionlake import lexicon as L
 from mentionlake.functions import text as X
+from mentionlake.functions.binding import let
 
 _NONE = ""
 
@@ -41,31 +42,45 @@ def pattern_mentions(caption: str, comments: str, patterns: Sequence = L.PRODUCT
 
 def intent(text: str, tiers: dict = L.INTENT) -> Column:
     """struct<level, confidence, signals (five at most), signal_count> of the highest tier hit."""
-    lower = F.lower(_text(text))
     base = {"high": (70, 95), "medium": (50, 80), "low": (40, 70)}
-    out = F.struct(F.lit("none").alias("level"), F.lit(0.0).alias("confidence"), F.expr("cast(array() as array<string>)").alias("signals"), F.lit(0).alias("signal_count"))
-    for level in ("low", "medium", "high"):
-        hits = X.contained(lower, tiers[level])
-        if level == "high":
-            hits = F.concat(hits, F.when(X.has_phone(_text(text)), F.array(F.lit("phone"))).otherwise(F.expr("cast(array() as array<string>)")))
-        start, most = base[level]
-        n = F.size(hits)
-        confidence = (F.least(start + 5 * n, F.lit(most)).cast("decimal(5,2)") / 100).cast("double")
-        out = F.when(n > 0, F.struct(F.lit(level).alias("level"), confidence.alias("confidence"), F.slice(F.array_distinct(hits), 1, 5).alias("signals"), n.alias("signal_count"))).otherwise(out)
-    return out
+    none = F.struct(F.lit("none").alias("level"), F.lit(0.0).alias("confidence"), F.expr("cast(array() as array<string>)").alias("signals"), F.lit(0).alias("signal_count"))
+    phone = F.when(X.has_phone(_text(text)), F.array(F.lit("phone"))).otherwise(F.expr("cast(array() as array<string>)"))
+
+    def decide(hits: Column) -> Column:
+        out = none
+        for level in ("low", "medium", "high"):
+            start, most = base[level]
+            n = F.size(hits[level])
+            confidence = (F.least(start + 5 * n, F.lit(most)).cast("decimal(5,2)") / 100).cast("double")
+            out = F.when(n > 0, F.struct(F.lit(level).alias("level"), confidence.alias("confidence"), F.slice(F.array_distinct(hits[level]), 1, 5).alias("signals"), n.alias("signal_count"))).otherwise(out)
+        return out
+
+    def find(lower: Column) -> Column:
+        found = {k: X.contained(lower, v) for k, v in tiers.items()}
+        return F.struct(F.concat(found["high"], phone).alias("high"), found["medium"].alias("medium"), found["low"].alias("low"))
+
+    return let(let(F.lower(_text(text)), find), decide)
 
 
 def topics(text: str, table: Sequence = L.TOPICS) -> Column:
     """array<struct<topic, confidence, keywords, match_count>>, by falling confidence, then lexicon order."""
-    lower = F.lower(_text(text))
-    rows = []
-    for ord_, (topic, words) in enumerate(table):
-        hits = X.contained(lower, words)
+    def rows(lower: Column) -> Column:
+        return F.array(*[let(X.contained(lower, words), _topic_row(ord_, topic, len(words))) for ord_, (topic, words) in enumerate(table)])
+
+    def kept(all_rows: Column) -> Column:
+        found = F.array_sort(F.filter(all_rows, lambda r: r["match_count"] > 0))
+        return F.transform(found, lambda r: F.struct(r["topic"].alias("topic"), (-r["neg"]).alias("confidence"), r["keywords"].alias("keywords"), r["match_count"].alias("match_count")))
+
+    return let(let(F.lower(_text(text)), rows), kept)
+
+
+def _topic_row(ord_: int, topic: str, size: int):
+    def row(hits: Column) -> Column:
         m = F.size(hits)
-        confidence = F.least(F.lit(95).cast("decimal(20,10)"), 50 + (50 * m).cast("decimal(20,10)") / len(words) + 3 * m) / 100
-        rows.append(F.struct((-F.round(confidence, 2)).cast("double").alias("neg"), F.lit(ord_).alias("ord"), F.lit(topic).alias("topic"), F.slice(hits, 1, 5).alias("keywords"), m.alias("match_count")))
-    kept = F.array_sort(F.filter(F.array(*rows), lambda r: r["match_count"] > 0))
-    return F.transform(kept, lambda r: F.struct(r["topic"].alias("topic"), (-r["neg"]).alias("confidence"), r["keywords"].alias("keywords"), r["match_count"].alias("match_count")))
+        confidence = F.least(F.lit(95).cast("decimal(20,10)"), 50 + (50 * m).cast("decimal(20,10)") / size + 3 * m) / 100
+        return F.struct((-F.round(confidence, 2)).cast("double").alias("neg"), F.lit(ord_).alias("ord"), F.lit(topic).alias("topic"), F.slice(hits, 1, 5).alias("keywords"), m.alias("match_count"))
+
+    return row
 
 
 def topics_by_join(df: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
@@ -77,12 +92,23 @@ def topics_by_join(df: DataFrame, key: str, text: str, words: DataFrame) -> Data
 
 def emoji_summary(text: str, polarity: dict = L.EMOJI, runs: bool = False) -> Column:
     """struct<total, distinct, positive, negative, neutral, score>; score = (p - n) / (p + n) or 0."""
-    found = X.emoji(_text(text), runs)
-    sign = F.transform(found, lambda e: F.coalesce(X.mapped(e, polarity), F.lit(0)))
-    count = lambda v: F.size(F.filter(sign, lambda s: s == v))
-    p, n = count(1), count(-1)
-    score = F.when(p + n > 0, F.round(((p - n).cast("decimal(10,0)") / (p + n).cast("decimal(10,0)")), 2).cast("double")).otherwise(F.lit(0.0))
-    return F.struct(F.size(found).alias("total"), F.size(F.array_distinct(found)).alias("distinct"), p.alias("positive"), n.alias("negative"), count(0).alias("neutral"), score.alias("score"))
+
+    def summed(found: Column) -> Column:
+        signs = F.transform(found, lambda e: F.coalesce(X.mapped(e, polarity), F.lit(0)))
+        counts = let(signs, lambda s: F.array(*[_equal(s, v) for v in (1, -1, 0)]))
+
+        def told(c: Column) -> Column:
+            p, n = F.element_at(c, 1), F.element_at(c, 2)
+            score = F.when(p + n > 0, F.round(((p - n).cast("decimal(10,0)") / (p + n).cast("decimal(10,0)")), 2).cast("double")).otherwise(F.lit(0.0))
+            return F.struct(F.size(found).alias("total"), F.size(F.array_distinct(found)).alias("distinct"), p.alias("positive"), n.alias("negative"), F.element_at(c, 3).alias("neutral"), score.alias("score"))
+
+        return let(counts, told)
+
+    return let(X.emoji(_text(text), runs), summed)
+
+
+def _equal(values: Column, v: int) -> Column:
+    return F.size(F.filter(values, lambda x: x == v))
 
 
 def campaigns(caption: str, hashtags: str, mentions: str, table: Sequence = L.CAMPAIGNS) -> Column:
