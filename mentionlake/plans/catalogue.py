@@ -48,7 +48,7 @@ _TEXT = "coalesce(text, '')"
 _INTENT = f"""SELECT *, CASE WHEN h > 0 THEN 'high' WHEN m > 0 THEN 'medium' WHEN l > 0 THEN 'low' ELSE 'none' END AS level,
   CASE WHEN h > 0 THEN least(70 + 5 * h, 95) WHEN m > 0 THEN least(50 + 5 * m, 80) WHEN l > 0 THEN least(40 + 5 * l, 70) ELSE 0 END AS pct
   FROM (SELECT *, {_hits(_TEXT, L.INTENT["high"])} + CASE WHEN {_PHONE.format(_TEXT)} THEN 1 ELSE 0 END AS h, {_hits(_TEXT, L.INTENT["medium"])} AS m, {_hits(_TEXT, L.INTENT["low"])} AS l FROM documents)"""
-_TOKENS = r"list_distinct(list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[\s\x0B\x85\p{Z}]+'), lambda w: trim(w, '!""#$%&''()*+,-./:;<=>?@[\]^_`{|}~')), lambda w: w <> ''))".replace('""', '"')
+_TOKENS = r"""list_distinct(list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[\s\x0B\x85\p{Z}]+'), lambda w: trim(w, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~')), lambda w: w <> ''))"""
 
 
 def _marks(lang: str) -> str:
