@@ -261,7 +261,7 @@ def segments(posts: DataFrame, model: Profiles | None = None) -> DataFrame:
             flat = [y for x in found for y in x]
             yield pd.DataFrame({
                 "post_key": np.repeat(b["post_key"].to_numpy(), n), "pos": np.repeat(b["pos"].to_numpy(), n).astype("int32"),
-                "label": np.repeat(b["label"].to_numpy(), n), "lang": [LANGUAGES[y[0]] for y in flat],
+                "label": np.repeat(b["label"].to_numpy(), n), "lang": np.array([LANGUAGES[y[0]] for y in flat], object),
                 "words": np.array([y[2] for y in flat], "int32"), "confidence": np.array([y[3] for y in flat], float),
             })
 

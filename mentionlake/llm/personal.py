@@ -526,7 +526,7 @@ def personal(posts: DataFrame, field: Field | None = None) -> DataFrame:
                 places.append(pos)
                 clean.append("".join([*parts, folded[last:]]))
                 kinds.append(sorted({k for _, _, k in found}))
-            yield pd.DataFrame({"post_key": np.array(keys, "int64"), "pos": np.array(places, "int32"), "text": clean, "kinds": kinds})
+            yield pd.DataFrame({"post_key": np.array(keys, "int64"), "pos": np.array(places, "int32"), "text": np.array(clean, object), "kinds": pd.Series(kinds, dtype=object)})
 
     return texts_of(posts).select("post_key", "pos", "text").mapInPandas(run, "post_key bigint, pos int, text string, kinds array<string>")
 
