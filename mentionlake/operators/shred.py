@@ -22,6 +22,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mentionlake.functions.binding import let
+
 #: Bound on the paths that one level of the analysis brings to the driver.
 MAX_PATHS = 10_000
 
@@ -51,14 +53,17 @@ def _held(v: Column) -> Column:
 
 def opened(v: Column) -> Column:
     """``v``, or what it holds if it is JSON text of a list or object."""
-    return F.when(_array(v).isNotNull() | _object(v).isNotNull(), v).otherwise(F.coalesce(_held(v), v))
+    return let(v, lambda x: F.when(_array(x).isNotNull() | _object(x).isNotNull(), x).otherwise(F.coalesce(_held(x), x)))
 
 
 def as_list(v: Column) -> Column:
     """array<variant> of ``v``: empty for null, of one element for a lone value."""
     none = F.expr("cast(array() as array<variant>)")
-    held = _held(v)
-    return F.when(_absent(v), none).otherwise(F.coalesce(_array(v), F.when(_object(v).isNotNull(), F.array(v)), _array(held), F.when(held.isNotNull(), F.array(held)), F.array(v)))
+
+    def lone(x: Column) -> Column:
+        return F.when(_object(x).isNotNull(), F.array(x)).otherwise(let(_held(x), lambda h: F.coalesce(_array(h), F.when(h.isNotNull(), F.array(h)), F.array(x))))
+
+    return let(v, lambda x: F.when(_absent(x), none).otherwise(F.coalesce(_array(x), lone(x))))
 
 
 def member(v: Column, name: str) -> Column:
