@@ -128,12 +128,13 @@ SELECT p.post_key, p.field, m.place_id FROM (
 def map_places(posts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """(field, value, place_id) of every distinct value; -1 where nothing matches."""
     sql = posts.sparkSession.sql
-    values = sql(VALUES, posts=posts)
-    parts = sql(PARTS, values=values)
-    names = sql(NAMES, gazetteer=gazetteer)
+    # Written once: each is read by several of the statements below.
+    values = cut(sql(VALUES, posts=posts), "values")
+    parts = cut(sql(PARTS, values=values), "parts")
+    names = cut(sql(NAMES, gazetteer=gazetteer), "names")
     segments = small(sql(SEGMENTS, names=names))
-    matches = sql(MATCHES, probes=sql(PROBES, parts=parts), segments=segments, parts=parts, names=names)
-    resolved = sql(RESOLVED, parts=parts, matches=matches, names=names)
+    matches = cut(sql(MATCHES, probes=sql(PROBES, parts=parts), segments=segments, parts=parts, names=names), "matches")
+    resolved = cut(sql(RESOLVED, parts=parts, matches=matches, names=names), "resolved")
     return resolved.union(sql(UNMATCHED, values=values, resolved=resolved))
 
 
