@@ -40,7 +40,7 @@ CODES = {
 SAMPLE_ROWS, ROUNDS, DIMS, GRAMS, LEAST_WORDS = 3000, 3, 16384, (3, 4), 4
 SWITCH, SWITCH_AT_STOP = 34.0, 10.0
 #: A part counts as a sentence or clause from this cosine on; names and numbers fall short of it.
-LEAST_COSINE = 0.07
+LEAST_COSINE = 0.1
 
 #: A few sentences of our own for each language: a start where labels are few or absent.
 SEEDS = {

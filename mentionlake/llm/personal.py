@@ -57,7 +57,7 @@ _REST = (
 )
 _MAIL = (
     r"(?:<?mailto:)?[\w.+-]+(?:\s?[\[(]dot[\])]\s?[\w.+-]+)*\s?(?:@|\[at\]|\(at\))\s?[\w-]+(?:(?:\.|\s?(?:\[dot\]|\(dot\))\s?)[\w-]+)+>?"
-    r"|\w+(?: (?:dot|punkt|point|nukta) \w+)* at \w+(?: dot \w+)+"
+    r"|[\w.+-]+(?: (?:dot|punkt|point|nukta) [\w.+-]+)* at [\w-]+(?: dot [\w-]+)+"
 )
 #: Without and with addresses of e-mail; a text that has no sign of one needs no look for them.
 _PLAIN = re.compile(f"{_WORD}|{_REST}")
