@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mentionlake import lexicon as L
+from mentionlake.functions import filters
 from mentionlake.functions import text as X
 from mentionlake.operators import annotate, dedupe, fusion, nlp, shred, summary, times, windows
 from mentionlake.session import table
@@ -357,6 +358,36 @@ def bag_union(spark, d):
     return both.groupBy("source", F.col("t").alias("query")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT platform, count(*) FILTER (length(t) > 2 AND NOT noise) AS genuine, count(*) FILTER (noise) AS noise FROM (SELECT platform, t, t IN (" + ", ".join(q(x) for x in filters.CONTROLS) + r""") OR regexp_matches(t, '^[0-9.,\s]*$') OR regexp_matches(t, '^[0-9]+\s*(s|m|h|d|w|y|sec|min|hours?|days?|weeks?)(\s+ago)?$') OR regexp_matches(t, '^view (all )?[0-9,]+') AS noise FROM (SELECT platform, lower(trim(coalesce(text, ''))) AS t FROM comments)) GROUP BY platform""")
+def comment_noise(spark, d):
+    c = table(spark, d, "comments")
+    return c.groupBy("platform").agg(F.count_if(filters.is_genuine(F.col("text"))).alias("genuine"), F.count_if(filters.is_noise(F.col("text"))).alias("noise"))
+
+
+@query("SELECT CASE WHEN follower_count >= 100000 THEN 'macro' WHEN follower_count >= 10000 THEN 'micro' WHEN follower_count >= 5000 THEN 'nano' ELSE 'individual' END AS tier, count(*) AS posts, round(avg(CASE WHEN follower_count > 0 THEN round(coalesce(likes, 0)::DECIMAL(20,0) * 100 / follower_count, 2)::DOUBLE ELSE 0.0 END), 4) AS rate FROM posts GROUP BY 1")
+def sql_functions(spark, d):
+    filters.register(spark)
+    return spark.sql("SELECT follower_tier(follower_count) AS tier, count(*) AS posts, round(avg(engagement_rate(likes, follower_count)), 4) AS rate FROM {posts} GROUP BY follower_tier(follower_count)", posts=table(spark, d, "posts"))
+
+
+@query("SELECT account, count(*) FILTER (last < TIMESTAMP '2025-09-01' - INTERVAL 31 DAY + INTERVAL 1 DAY) AS stale FROM (SELECT account, date_trunc('day', max(crawled_at AT TIME ZONE 'UTC')) AS last FROM documents GROUP BY account) GROUP BY account")
+def stale_accounts(spark, d):
+    last = _docs(spark, d).groupBy("account").agg(F.max("crawled_at").alias("last"))
+    return last.groupBy("account").agg(F.count_if(filters.stale(F.col("last"), F.lit("2025-09-01").cast("timestamp"))).alias("stale"))
+
+
+@query("SELECT post_key, string_agg(location, ',' ORDER BY rank) AS locations FROM (SELECT post_key, x.location AS location, row_number() OVER (PARTITION BY post_key ORDER BY x.confidence DESC, x.location) AS rank FROM (SELECT post_key, unnest(geo_enrichment.top_signals) AS x FROM posts) WHERE x.location IS NOT NULL) WHERE rank <= 3 GROUP BY post_key")
+def top_signals(spark, d):
+    s = table(spark, d, "posts").select("post_key", F.filter("geo_enrichment.top_signals", lambda x: x["location"].isNotNull()).alias("s")).where(F.size("s") > 0)
+    best = F.slice(F.array_sort(F.transform("s", lambda x: F.struct((-x["confidence"]).alias("c"), x["location"].alias("l")))), 1, 3)
+    return s.select("post_key", F.array_join(F.transform(best, lambda x: x["l"]), ",").alias("locations"))
+
+
+@query("SELECT post_key, display AS location FROM (SELECT DISTINCT post_key, unnest(regexp_extract_all(lower(coalesce(caption, '')), '([\\p{L}]+)', 1)) AS w FROM posts) JOIN (SELECT DISTINCT lower(display) AS w, display FROM gazetteer) USING (w)")
+def caption_places(spark, d):
+    return fusion.caption_signals(table(spark, d, "posts"), "post_key", "caption", table(spark, d, "gazetteer")).select("post_key", "location")
+
+
 # --- totals, top lists, windows ----------------------------------------------------------------
 @query("SELECT o_orderpriority, o_orderstatus, count(*) AS rows, round(sum(o_totalprice::DECIMAL(18,2)), 2)::DOUBLE AS price FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)")
 def totals_rollup(spark, d):
