@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mentionlake.llm.batches import arrow
+
 # Letters of other scripts that look like Latin ones (left), and those (right).
 LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
@@ -215,9 +217,7 @@ def fold_posts(posts: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in arrow(batches, ("caption", "username")):
             caption, c_held = fold_array(b.column("caption"))
             username, u_held = fold_array(b.column("username"), whole=True)
             tags = b.column("hashtags")

@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mentionlake.llm.batches import frames
 from mentionlake.llm.folding import _skeleton_maps
 
 
@@ -255,7 +256,7 @@ def segments(posts: DataFrame, model: Profiles | None = None) -> DataFrame:
         own = Profiles.__new__(Profiles)
         own.table, own.norms = shared.value
         own.seen, own.rows = {}, []
-        for b in batches:
+        for b in frames(batches, "text"):
             found = parts(b["text"].tolist(), own)
             n = [len(x) for x in found]
             flat = [y for x in found for y in x]

@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mentionlake.llm.batches import frames
 from mentionlake.llm.folding import INVISIBLE, LOOKALIKES, SPACES
 from mentionlake.llm.languages import texts_of
 
@@ -512,7 +513,7 @@ def personal(posts: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(shared.value)
-        for b in batches:
+        for b in frames(batches, "text"):
             keys, places, clean, kinds = [], [], [], []
             for key, pos, text, got in zip(b["post_key"], b["pos"], b["text"], reader.tag(b["text"].tolist())):
                 found = entities(*got) if got else []

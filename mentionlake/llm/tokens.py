@@ -3,7 +3,9 @@
 A text is cut into words by the vocabulary's pattern; each distinct word is encoded once
 and its ids are put back in place.  A word starts as its bytes (as hex pairs, so that any
 byte string is plain text); a fold then merges, step by step, the neighbouring pair whose
-joint bytes have the least rank, the leftmost of equals, until no pair has a rank.  The
+joint bytes have the least rank, at all places where it stands, until no pair has a rank.
+(A pair made by a merge never ranks before it, so this is the same as one place at a time,
+and a very long word takes a step for each kind of merge, not for each letter.)  The
 ranks are one literal: an array of small maps, where the CRC of the joint bytes names the
 map, so that a look-up reads a dozen entries instead of 50,000.
 
@@ -63,26 +65,31 @@ def encode_word(word: Column, path: str = VOCABULARY) -> Column:
     """array<int> of a word: the fold of merges over its bytes."""
     hexed = F.hex(F.encode(word, "UTF-8"))
     no_rank = F.lit(2**31 - 1)
+    at = F.element_at
 
-    def merge(pieces: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.coalesce(rank_of(F.concat(F.element_at(pieces, i), F.element_at(pieces, i + 1)), path), no_rank))
+    def merge(said: Column) -> Column:
+        def of(p: Column) -> Column:
+            ranks = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.coalesce(rank_of(F.concat(at(p, i), at(p, i + 1)), path), no_rank))
 
-        def apply(ranks: Column) -> Column:
-            best = F.array_min(ranks)
-            at = F.array_position(ranks, best).cast("int")
-            joined = F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(F.concat(F.element_at(pieces, at), F.element_at(pieces, at + 1))), F.slice(pieces, at + 2, F.size(pieces)))
-            return F.struct(F.when(best < no_rank, joined).otherwise(pieces).alias("p"), (best == no_rank).alias("done"))
+            def apply(r: Column) -> Column:
+                first = F.array_position(r, F.array_min(r)).cast("int")
+                joined = let(first, lambda i: F.replace(said, F.concat(F.lit("<"), at(p, i), F.lit("><"), at(p, i + 1), F.lit(">")), F.concat(F.lit("<"), at(p, i), at(p, i + 1), F.lit(">"))))
+                return F.when(F.array_min(r) < no_rank, F.struct(joined.alias("p"), F.lit(False).alias("done"))).otherwise(F.struct(said.alias("p"), F.lit(True).alias("done")))
 
-        return let(pairs, apply)
+            return F.when(F.size(p) < 2, F.struct(said.alias("p"), F.lit(True).alias("done"))).otherwise(let(ranks, apply))
+
+        return let(pieces(said), of)
+
+    def pieces(said: Column) -> Column:
+        return F.split(F.substring(said, F.lit(2), F.length(said) - 2), "><")
 
     def step(state: Column, _: Column) -> Column:
-        return F.when(state["done"] | (F.size(state["p"]) < 2), F.struct(state["p"].alias("p"), F.lit(True).alias("done"))).otherwise(merge(state["p"]))
+        return F.when(state["done"], state).otherwise(merge(state["p"]))
 
     def fold(h: Column) -> Column:
-        n = (F.length(h) / 2).cast("int")
-        pieces = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substring(h, i * 2 + 1, F.lit(2)))
-        start = F.struct(pieces.alias("p"), F.lit(False).alias("done"))
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda s: F.transform(s["p"], lambda p: rank_of(p, path)))
+        start = F.struct(F.regexp_replace(h, "(..)", "<$1>").alias("p"), F.lit(False).alias("done"))
+        steps = F.sequence(F.lit(1), F.greatest((F.length(h) / 2).cast("int") - 1, F.lit(1)))
+        return F.aggregate(steps, start, step, lambda s: F.transform(pieces(s["p"]), lambda p: rank_of(p, path)))
 
     return let(hexed, fold)
 
