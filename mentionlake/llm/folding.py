@@ -157,7 +157,7 @@ def fold_batch(cp: np.ndarray, off: np.ndarray, whole: bool = False) -> tuple[np
     before = np.where(first, 0, _shift(kind, 1))
     after = np.where(_shift(first, -1, True), 0, _shift(kind, -1))
     joins = (cp == 0x200D) | (cp == 0x200C)
-    text_joiner = joins & ((((before & EMOJI) > 0) & ((after & EMOJI) > 0) & (cp == 0x200D)) | (((before & (OTHER | INNER)) > 0) & ((after & (OTHER | INNER)) > 0) & ~latin & inside & (np.bincount(word, (kind & OTHER) > 0, words)[word] > 0)))
+    text_joiner = joins & ((((before & EMOJI) > 0) & ((after & EMOJI) > 0) & (cp == 0x200D)) | (((before & (OTHER | INNER)) > 0) & ((after & (OTHER | INNER)) > 0) & (((before | after) & UNSEEN) == 0) & ~latin & inside & (np.bincount(word, (kind & OTHER) > 0, words)[word] > 0)))
     unseen = ~seen & ~text_joiner
     spaces = (kind & SPACE) > 0
     wide = (kind & WIDE) > 0
