@@ -9,8 +9,8 @@ and a very long word takes a step for each kind of merge, not for each letter.)
 ranks are one literal: an array of small maps, where the CRC of the joint bytes names the
 map, so that a look-up reads a dozen entries instead of 50,000.
 
-Words that many documents hold are joined by broadcast (at most ``HOT_WORDS`` of them), so
-no key of the shuffled join holds more than its share; the rest meet in a shuffled join.
+The ``HOT_WORDS`` words that most documents hold are a literal as well, so they are put in
+place without any join, and no key of the join that serves the rest is frequent.
 
 Defined cases: null and empty texts give an empty list; the special token's text is
 ordinary text; characters outside the pattern's classes fall into its last branches, so
@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionlake.functions.binding import let
-from mentionlake.session import cut, small
+from mentionlake.session import cut
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-BUCKETS, HOT_WORDS = 4096, 4096
+BUCKETS, HOT_WORDS = 4096, 16384
 # Fixed value: the public pattern of this vocabulary, in Java's notation.
 PATTERN = r"('(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+)"
 
@@ -94,20 +94,36 @@ def encode_word(word: Column, path: str = VOCABULARY) -> Column:
     return let(hexed, fold)
 
 
+def _hot_codes(hot: dict[str, list[int]]):
+    """Look-up of frequent words: one literal of small maps, as for the ranks."""
+    buckets: list[dict[str, list[int]]] = [{} for _ in range(BUCKETS)]
+    for w, code in hot.items():
+        buckets[zlib.crc32(w.encode()) % BUCKETS][w] = code
+    maps = F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,array<int>>>")
+    return lambda w: F.try_element_at(F.element_at(maps, (F.crc32(F.encode(w, "UTF-8")) % BUCKETS).cast("int") + 1), w)
+
+
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """(key, ids) for every row; keys that occur twice keep a row each."""
     spark = documents.sparkSession
-    rows = documents.select(F.col(key), words(F.col(text)).alias("_w"))
-    # One row for each document and distinct word: the counts are combined before they move.
-    pairs = rows.select(key, F.explode(F.array_distinct("_w")).alias("word"))
-    counted = cut(pairs.groupBy("word").count(), "words")
+    # One row for each distinct word; the counts are combined before they move.
+    counted = cut(documents.select(F.explode(F.array_distinct(words(F.col(text)))).alias("word")).groupBy("word").count(), "words")
     coded = cut(counted.repartition(spark.sparkContext.defaultParallelism * 2, "word").select("word", "count", encode_word(F.col("word"), path).alias("code")), "codes")
-    hot = F.broadcast(coded.orderBy(F.desc("count"), "word").limit(HOT_WORDS).select("word", "code"))
-    joined = pairs.join(hot, "word", "left")
-    cold = joined.where(F.col("code").isNull()).drop("code").join(coded.select("word", "code"), "word")
-    every = joined.where(F.col("code").isNotNull()).unionByName(cold)
-    maps = every.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("word", "code"))).alias("_codes"))
-    return rows.join(maps, key, "left").select(key, F.coalesce(F.flatten(F.transform("_w", lambda w: F.element_at("_codes", w))), F.expr("cast(array() as array<int>)")).alias("ids"))
+    hot = _hot_codes({r.word: list(r.code) for r in coded.orderBy(F.desc("count"), "word").limit(HOT_WORDS).collect()})
+
+    def mark(w: Column) -> Column:
+        # A frequent word gives its ids in place, another the negative of its place.
+        ids = F.flatten(F.transform(w, lambda x, i: F.coalesce(hot(x), F.array(-(i + 1)))))
+        cold = lambda i: F.transform(F.filter(i, lambda n: n < 0), lambda n: F.struct(n.alias("n"), F.element_at(w, -n).alias("word")))
+        return let(ids, lambda i: F.struct(i.alias("ids"), cold(i).alias("cold")))
+
+    rows = documents.select(F.col(key), let(words(F.col(text)), mark).alias("_m")).select(key, F.monotonically_increasing_id().alias("_row"), "_m.ids", "_m.cold")
+    rows = cut(rows, "marked")
+    open_ = rows.where(F.size("cold") > 0)
+    each = open_.select("_row", F.explode("cold").alias("c")).select("_row", "c.n", "c.word").join(coded.select("word", "code"), "word")
+    found = each.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("n", "code"))).alias("_codes"))
+    filled = F.flatten(F.transform("ids", lambda x: F.when(x < 0, F.element_at("_codes", x)).otherwise(F.array(x))))
+    return rows.where(F.size("cold") == 0).select(key, "ids").union(open_.join(found, "_row").select(key, filled.alias("ids")))
 
 
 def decode(ids: Column, spark: SparkSession | None = None, path: str = VOCABULARY) -> Column:
