@@ -19,6 +19,7 @@ than the key and the text are not read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,9 +28,11 @@ from pyspark.sql import functions as F
 
 from mentionlake.functions.binding import let
 from mentionlake.llm.folding import skeleton
-from mentionlake.session import parallel, small
+from mentionlake.session import cut, parallel, small
 
 K, WINDOW, LEAST, STEP = 3, 2, 12, 3
+#: Items up to this number are sent to the workers as one list.
+LISTED_ITEMS = 20_000
 
 
 def words(text: Column) -> Column:
@@ -50,6 +53,15 @@ def kept_hashes(w: Column, k: int = K, window: int = WINDOW) -> Column:
     return let(let(w, grams), least)
 
 
+@functools.lru_cache(maxsize=50_000)
+def _prepared(item: tuple[str, ...], k: int) -> tuple[list[tuple], dict[str, list[int]]]:
+    """The k-grams of an item, and where each of its words stands."""
+    at: dict[str, list[int]] = {}
+    for i, w in enumerate(item):
+        at.setdefault(w, []).append(i)
+    return [item[i : i + k] for i in range(len(item) - k + 1)], at
+
+
 class Text:
     """The words of a document with the places of its k-grams; words may be taken out."""
 
@@ -63,26 +75,26 @@ class Text:
         self.words[begin:end] = [None] * (end - begin)
 
 
-def chain(item: tuple[str, ...] | list[str], doc: Text, k: int = K, step: int = STEP, around: int = 16) -> list[tuple[int, int]]:
+def chain(item: tuple[str, ...] | list[str], doc: Text, k: int = K, step: int = STEP, around: int = 16, fewest: int = 1) -> list[tuple[int, int]]:
     """The longest chain of (item position, document position) of equal words in order.
 
     A link steps over at most step - 1 words on either side.  Only stretches of the
-    document near k-grams of the item are searched.
+    document near k-grams of the item are searched, and none if they hold under ``fewest``
+    words of the item.
     """
     words, near = doc.words, set()
-    for i in range(len(item) - k + 1):
-        for d in doc.grams.get(tuple(item[i : i + k]), ()):
+    grams, at = _prepared(tuple(item), k)
+    for g in grams:
+        for d in doc.grams.get(g, ()):
             if words[d] is not None:
                 near.update(range(max(0, d - around), min(len(words), d + k + around)))
-    at: dict[str, list[int]] = {}
-    for i, w in enumerate(item):
-        at.setdefault(w, []).append(i)
+    near = sorted(d for d in near if words[d] in at)
+    if len(near) < fewest:
+        return []
     ends: dict[int, dict[int, tuple[int, tuple | None]]] = {}  # document position -> item position -> (length, link before)
     top, most = None, 0
-    for d in sorted(near):
-        places = at.get(words[d])
-        if not places:
-            continue
+    for d in near:
+        places = at[words[d]]
         rows = [(b, r) for b in range(1, step + 1) if (r := ends.get(d - b))]
         here = ends[d] = {}
         for i in places:
@@ -113,12 +125,12 @@ def leaked(doc: list[str], items: list[tuple[int, list[str]]], least: int = LEAS
     for item_id, item in items:
         same.setdefault(tuple(item), []).append(item_id)
     free, out = Text(doc), []
-    waiting = [(len(c), -min(ids), item, c) for item, ids in same.items() if _counts(c := chain(item, free), least)]
+    waiting = [(len(c), -min(ids), item, c) for item, ids in same.items() if _counts(c := chain(item, free, fewest=2 * least // 3), least)]
     while waiting:
         waiting.sort(key=lambda x: x[:2])
         _, _, item, c = waiting.pop()
         if any(free.words[d] is None for _, d in c):  # part of it belongs to a longer chain: look at the rest
-            if _counts(c := chain(item, free), least):
+            if _counts(c := chain(item, free, fewest=2 * least // 3), least):
                 waiting.append((len(c), -min(same[item]), item, c))
             continue
         out += [(i, c[-1][0] - c[0][0] + 1) for i in same[item]]
@@ -133,16 +145,25 @@ def leaks(documents: DataFrame, items: DataFrame, k: int = K, window: int = WIND
     docs = documents.select("doc_id", words(F.col("text")).alias("w"))
     hits = docs.select("doc_id", F.explode(kept_hashes(F.col("w"), k, window)).alias("h")).join(small(prints), "h")
     pairs = hits.select("doc_id", F.explode("ids").alias("item_id")).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= 2)
-    with_items = pairs.join(it, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_words")).alias("items"))
+    pairs = cut(pairs, "pairs")
+    # While few documents have candidates, their keys pick them at the scan and no other text moves.
+    some = documents.select("doc_id", "text").join(small(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
+    # A list of items of checked size goes to the workers once; a longer one travels with its candidates.
+    listed = it.limit(LISTED_ITEMS + 1).count() <= LISTED_ITEMS
+    shared = documents.sparkSession.sparkContext.broadcast({r.item_id: tuple(r.item_words) for r in it.collect()} if listed else {})
+    with_items = pairs if listed else pairs.join(it, "item_id")
+    item = F.struct("item_id", F.expr("cast(null as array<string>)").alias("item_words")) if listed else F.struct("item_id", "item_words")
+    with_items = with_items.groupBy("doc_id").agg(F.collect_list(item).alias("items"))
     # The words of a document are made again only where a candidate remains.
-    rows = documents.select("doc_id", "text").join(with_items, "doc_id").select("doc_id", words(F.col("text")).alias("w"), "items").repartition(parallel(documents.sparkSession), "doc_id")
+    rows = some.join(with_items, "doc_id").select("doc_id", words(F.col("text")).alias("w"), "items").repartition(parallel(documents.sparkSession), "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
         for b in batches:
             out = []
             for doc_id, w, cand in zip(b["doc_id"], b["w"], b["items"]):
-                got = leaked(list(w), [(int(c["item_id"]), list(c["item_words"])) for c in cand], least)
-                out += [(doc_id, i, s) for i, s in got]
+                items_here = [(i, known[i] if listed else tuple(c["item_words"])) for c in cand for i in (int(c["item_id"]),)]
+                out += [(doc_id, i, n) for i, n in leaked(w.tolist(), items_here, least)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "span"]).astype({"doc_id": "int64", "item_id": "int64", "span": "int32"})
 
     return rows.mapInPandas(run, "doc_id bigint, item_id bigint, span int")
