@@ -77,3 +77,14 @@ def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
 def parallel(spark: SparkSession) -> int:
     """Partitions for a stage of Python work, which adaptive execution would merge by its small input."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows, picked by a hash of their key: the same ones however the table is cut.
+
+    The keys are picked first, without the other columns, so that little moves however many
+    partitions there are; then a broadcast of at most n keys takes their rows at the scan.
+    """
+    order = (F.xxhash64(key), F.col(key))
+    keys = df.select(key).orderBy(*order).limit(n).distinct()
+    return df.join(F.broadcast(keys), key, "left_semi").orderBy(*order).limit(n)
