@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from mentionlake.llm.batches import frames
 from mentionlake.llm.folding import _skeleton_maps
+from mentionlake.session import sampled
 
 
 LANGUAGES = ("english", "swahili", "sheng", "french", "german")
@@ -241,7 +242,7 @@ def texts_of(posts: DataFrame) -> DataFrame:
 def fit(posts: DataFrame, rows: int = SAMPLE_ROWS) -> Profiles:
     """Profiles trained on at most ``rows`` labelled posts, picked by a hash of their key."""
     labelled = posts.where(label_language(F.col("language_detected")).isNotNull()).select("post_key", "caption", "comment_texts", "language_detected")
-    sample = labelled.orderBy(F.xxhash64("post_key"), "post_key").limit(rows)
+    sample = sampled(labelled, "post_key", rows)
     got = texts_of(sample).select(label_language(F.col("label")).alias("lang"), "text").collect()
     return train(sorted((r.lang, r.text) for r in got if r.text))
 

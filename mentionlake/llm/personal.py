@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from mentionlake.llm.batches import frames
 from mentionlake.llm.folding import INVISIBLE, LOOKALIKES, SPACES
 from mentionlake.llm.languages import texts_of
+from mentionlake.session import sampled
 
 LABELS = ("none", "email", "phone", "id_number", "address", "name")
 NONE, EMAIL, PHONE, ID, ADDRESS, NAME = range(6)
@@ -499,7 +500,7 @@ def entities(tokens: Tokens, labels: np.ndarray) -> list[tuple[int, int, str]]:
 
 def fit(posts: DataFrame, rows: int = SAMPLE_ROWS) -> Field:
     """A field trained on the texts of at most ``rows`` posts, picked by a hash of their key."""
-    sample = posts.select("post_key", "caption", "comment_texts", "language_detected").orderBy(F.xxhash64("post_key"), "post_key").limit(rows)
+    sample = sampled(posts.select("post_key", "caption", "comment_texts", "language_detected"), "post_key", rows)
     got = sorted(r.text for r in texts_of(sample).select("text").collect() if r.text)
     marked = [t for t in got if re.search(r"\d{3}|@| at |[Nn]a[mi]|Mr|Dr|[Rr]egards|[Aa]sk|[Uu]liz|emand|ragt|[Tt]hank|sante|erci|Danke|[Hh]uyo", t)]
     rest = [t for t in got if t not in set(marked)]
