@@ -57,6 +57,7 @@ _NOT_WORDS = re.compile(r"(?:[#@]|https?://|www\.|mailto:)\S+|\S+@\S+")
 _TOKEN = re.compile(r"(?<!\w)[^\W\d_]+(?:['’][^\W\d_]+)*(?!\w)|[.!?…\n/;|]|(?<=\s)-(?=\s)|[^\w\s,:'’\"()*#@+%-]")
 _FOLD = str.maketrans(dict(zip(_skeleton_maps()[0][len(_skeleton_maps()[1]) :], [None] * 99)))
 _LOOK = {ord(a): b for a, b in zip(*_skeleton_maps()) if not (0xC0 <= ord(a) < 0x1F00 and ord(a) < 0x250)}
+_SIGHT = {**_LOOK, **_FOLD}
 
 
 def label_language(label: Column) -> Column:
@@ -69,7 +70,11 @@ def label_language(label: Column) -> Column:
 def tokens(text: str) -> tuple[list[str], list[bool]]:
     """(words in lower case, per word: a sentence ended before it)."""
     words, stops, stop = [], [], True
-    for t in _TOKEN.findall(_NOT_WORDS.sub(" . ", text.translate(_FOLD).translate(_LOOK)).lower()):
+    if not text.isascii():
+        text = text.translate(_SIGHT)
+    if "#" in text or "@" in text or "://" in text or "www." in text or "mailto:" in text:
+        text = _NOT_WORDS.sub(" . ", text)
+    for t in _TOKEN.findall(text.lower()):
         if t[0].isalpha():
             words.append(t)
             stops.append(stop)
