@@ -193,9 +193,8 @@ def city_priority(spark, d):
 # --- scalar functions ------------------------------------------------------------------------
 @query("SELECT tag, count(*) AS posts FROM (SELECT DISTINCT post_key, lower(tag) AS tag FROM (SELECT post_key, unnest(regexp_extract_all(coalesce(caption, ''), '#([a-zA-Z0-9_]+)', 1)) AS tag FROM posts)) GROUP BY tag ORDER BY posts DESC, tag LIMIT 10")
 def hashtag_top10(spark, d):
-    # ASCII tags, as the checking engine's word class is ASCII; the operator itself takes all letters.
-    ascii_tags = F.transform(F.regexp_extract_all(F.coalesce("caption", F.lit("")), F.lit("#([a-zA-Z0-9_]+)"), F.lit(1)), F.lower)
-    return summary.top_values(table(spark, d, "posts").withColumn("_h", ascii_tags), "_h", 10, name="tag")
+    # Tags of all letters; the SQL above knows ASCII ones only, and differs wherever another tag counts.
+    return summary.top_values(table(spark, d, "posts").withColumn("_h", X.hashtags(F.col("caption"))), "_h", 10, name="tag")
 
 
 @query(r"SELECT post_key, lower(m) AS mention FROM (SELECT post_key, unnest(regexp_extract_all(coalesce(caption, ''), '@([a-zA-Z0-9_.]+)', 1)) AS m FROM posts)")
