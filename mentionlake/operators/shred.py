@@ -5,8 +5,11 @@ per level gives every path with the kinds seen there, so the whole data decide,
 sample.  ``inline_plan`` then applies shared inlining: singleton descendants become
 columns of the nearest table above, while elements that repeat, are reached from several
 parents or contain themselves get a table of their own with a foreign key.  ``shred``
-builds the tables of such a plan.  ``POST_PLAN`` is the plan for landed posts, and
-``p3_found`` reads its rows from the tables that ``shred`` makes of it.
+builds the tables of such a plan.  ``POST_PLAN`` says what the known tables of landed
+posts hold; ``post_plans`` holds it against the inlined graph of the data and gives every
+other element that repeats, is shared or recursive a table too.  ``p3_found`` reads its
+rows from the tables that ``shred`` makes of these plans.  Members whose names hold a dot,
+a quote or a bracket cannot be told apart by path and get no table of their own.
 
 Shapes are made alike before they are cut up: a lone object or scalar where a list
 belongs is a list of one, and a list or object that stands as JSON text counts as what it
@@ -17,12 +20,14 @@ apart only by the key columns of the caller.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mentionlake.functions.binding import let
+from mentionlake.session import cut
 
 #: Bound on the paths that one level of the analysis brings to the driver.
 MAX_PATHS = 10_000
@@ -107,11 +112,12 @@ def schema_graph(df: DataFrame, payload: str, max_depth: int = 16) -> list[Eleme
             found.setdefault(r.path, {})[r["kind"]] = r["count"]
         if not any(r["kind"] in ("array", "object") for r in counts):
             break
-        level = (
+        below = (
             level.where(F.col("kind").isin("array", "object"))
             .lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("k"), F.col("value").alias("w")))
             .select(F.concat("path", F.when(F.col("k").isNull(), F.lit("[]")).otherwise(F.concat(F.lit("."), F.col("k")))).alias("path"), opened(F.col("w")).alias("v"))
         )
+        level = cut(below, "graph")  # else every level goes through all levels above it again
     return [Element(p, k) for p, k in sorted(found.items())]
 
 
@@ -182,6 +188,8 @@ def shred(df: DataFrame, keys: list[str], payload: str, plan: Repeated) -> dict[
 
     A table has the caller's ``keys``, ``<ancestor>_ord`` for each table above (the foreign
     key), ``<name>_ord`` (the place in its list, nulls counted) and the inlined columns.
+    The payloads are parsed once; the values of the first table go to the shared folder, and
+    all tables are made of those.
     """
     root = df.select(*keys, opened(F.try_parse_json(F.col(payload))).alias("_v")).where(F.col("_v").isNotNull() & (kind(F.col("_v")).isin("array", "object")))
     inner = member(F.col("_v"), plan.path[-1]) if plan.path else F.lit(None)
@@ -194,7 +202,7 @@ def shred(df: DataFrame, keys: list[str], payload: str, plan: Repeated) -> dict[
         for c in r.children:
             build(_elements(values, here, _at(F.col("_v"), c), f"{c.name}_ord"), here, c)
 
-    build(_elements(root, keys, start, f"{plan.name}_ord").where(kind(F.col("_v")) == "object"), list(keys), plan)
+    build(cut(_elements(root, keys, start, f"{plan.name}_ord").where(kind(F.col("_v")) == "object"), plan.name), list(keys), plan)
     return out
 
 
@@ -226,9 +234,76 @@ LABELS = {
 }
 
 
+def _column(path: str):
+    def of(v: Column) -> Column:
+        for name in path.split("."):
+            v = member(v, name)
+        return text(v)
+
+    return of
+
+
+def _without_root(graph: list[Element], plan: Repeated) -> list[Element]:
+    """The graph as seen from one element of the plan's first table, other names made one."""
+    same = {n: c.path[-1] for c in plan.children for n in c.names}
+    found: dict[str, dict[str, int]] = {}
+    for e in graph:
+        names = e.path.removeprefix("$[]").removeprefix("$").split(".")[1:]
+        if plan.path and names and names[0].removesuffix("[]") == plan.path[-1]:
+            names = names[1:]
+        if names:
+            first = names[0].removesuffix("[]")
+            names[0] = same.get(first, first) + names[0][len(first) :]
+            kinds = found.setdefault(".".join(["$", *names]), {})
+            for k, n in e.kinds.items():
+                kinds[k] = kinds.get(k, 0) + n
+    return [Element(p, k) for p, k in sorted(found.items())]
+
+
+def completed(plan: Repeated, graph: list[Element]) -> Repeated:
+    """``plan`` with a table for each one of the inlined graph that it has none for."""
+    scalars = {e.path.replace("[]", "") for e in graph if e.path.endswith("[]") and "scalar" in e.kinds}
+    extra: dict[tuple[str, ...], list[str]] = {}
+    for path, columns in inline_plan(graph).items():
+        names = tuple(path.split(".")[1:])
+        if names and all(re.fullmatch(r"\w[\w -]*", n) for n in names):
+            extra[names] = [c for c in columns if all(re.fullmatch(r"\w[\w -]*", n) for n in c.split("."))]
+
+    def grown(r: Repeated, at: tuple[str, ...]) -> Repeated:
+        children, known = [], {at + c.path for c in r.children}
+        below = [p for p in extra if len(p) > len(at) and p[: len(at)] == at and p not in known]
+        tops = [p for p in below if not any(p != k and p[: len(k)] == k for k in [*known, *below])]
+        for c in r.children:
+            children.append(grown(c, at + c.path))
+        for p in tops:
+            columns = {c.replace(".", "_"): _column(c) for c in extra[p]}
+            if "$." + ".".join(p) in scalars or not columns:
+                columns["value" if "value" not in columns else "_value"] = text
+            name = "_".join(p[len(at) :] if r is plan else (r.name, *p[len(at) :]))
+            children.append(grown(Repeated(name, p[len(at) :], columns), p))
+        return replace(r, children=tuple(children))
+
+    return grown(plan, ())
+
+
+def post_plans(raw: DataFrame) -> tuple[Repeated, Repeated]:
+    """The plan of landed posts, and that of what stands beside the posts in an envelope."""
+    graph = schema_graph(raw, "payload")
+    beside = [e for e in graph if e.path.startswith("$.") and e.path.replace("[]", "").split(".")[1] != POST_PLAN.path[-1]]
+    posts = _without_root(graph, POST_PLAN)
+    record = completed(Repeated("record", (), {}), _without_root(beside, replace(POST_PLAN, path=())))
+    new = tuple(replace(c, name=f"record_{c.name}") for c in record.children if c.path not in {k.path for k in POST_PLAN.children})
+    return completed(POST_PLAN, posts), replace(record, children=new)
+
+
 def post_tables(raw: DataFrame) -> dict[str, DataFrame]:
     """The tables of landed posts, keyed by rec_id."""
-    return shred(raw, ["rec_id"], "payload", POST_PLAN)
+    plan, record = post_plans(raw)
+    out = shred(raw, ["rec_id"], "payload", plan)
+    if record.children:
+        envelopes = raw.where(member(opened(F.try_parse_json("payload")), plan.path[-1]).isNotNull())
+        out |= {name: t for name, t in shred(envelopes, ["rec_id"], "payload", record).items() if name not in out}
+    return out
 
 
 def child_rows(tables: dict[str, DataFrame]) -> DataFrame:
@@ -265,8 +340,8 @@ def _below(c: Repeated):
 def child_rows_at_once(df: DataFrame, keys: list[str], payload: str, plan: Repeated) -> DataFrame:
     """The rows of ``child_rows(shred(...))`` from one scan and one parse of each payload.
 
-    The tables of ``shred`` are separate results and each reads the payloads; where all of
-    them are wanted in the long form, the children of a post are laid out inside its row.
+    The children of a post are laid out inside its row.  No query uses this; the tests hold
+    the tables of ``shred`` against it.
     """
     root = df.select(*keys, opened(F.try_parse_json(F.col(payload))).alias("_v")).where(F.col("_v").isNotNull() & kind(F.col("_v")).isin("array", "object"))
     start = F.when(kind(F.col("_v")) == "object", F.coalesce(member(F.col("_v"), plan.path[-1]), F.col("_v"))).otherwise(F.col("_v"))
@@ -278,4 +353,4 @@ def child_rows_at_once(df: DataFrame, keys: list[str], payload: str, plan: Repea
 
 def p3_found(raw: DataFrame) -> DataFrame:
     """(rec_id, post_ord, child, parent_ord, ord, label): one row for each non-null element."""
-    return child_rows_at_once(raw, ["rec_id"], "payload", POST_PLAN)
+    return child_rows(post_tables(raw))
