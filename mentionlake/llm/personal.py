@@ -3,8 +3,8 @@
 A text becomes tokens: words, initials, e-mail addresses (also spelled out), numbers with
 their separators as one token, and marks.  A linear chain over the labels none, e-mail,
 phone, id number, address and name scores words, kinds and number shapes up to three
-tokens away; tokens that recur in a text are joined by skip edges, whose potential favours
-equal labels.  Marginals come from loopy message passing: each round runs the chain
+tokens away; words that recur in a text, in any letter case, with other accents or as a
+possessive, are joined by skip edges, whose potential favours equal labels.  Marginals come from loopy message passing: each round runs the chain
 forwards and backwards with the messages of the skip edges, then sends new ones.
 
 No text comes labelled, so the model is trained here on a bounded sample
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +38,8 @@ from mentionlake.session import sampled
 LABELS = ("none", "email", "phone", "id_number", "address", "name")
 NONE, EMAIL, PHONE, ID, ADDRESS, NAME = range(6)
 SAMPLE_ROWS, EPOCHS, ROUNDS, REACH = 3000, 25, 3, 3
-#: A text goes to message passing if some label is within this score of "none" at a token,
-#: from so many tokens before the first such token to as many after the last.
-NEAR, AROUND = 4.0, 8
+#: A text goes to message passing, as a whole, if some label is within this score of "none" at a token.
+NEAR = 5.0
 
 # Words that introduce or follow what they name, in the coarse form of a word.
 NAME_BEFORE = ("my name is", "jina langu ni", "naitwa", "ich heisse", "ich heiße", "je m'appelle", "regards ,", "ask for", "uliza", "muulizie", "demandez", "fragt nach", "thanks to", "asante sana", "merci a", "merci à", "danke an", "huyo", "nilihudumiwa na")
@@ -292,14 +292,21 @@ class Field:
         return np.exp(belief - _lse(belief, 2)[:, :, None])
 
 
-def skip_links(texts: list[Tokens], windows: list[tuple[int, int]] | None = None) -> np.ndarray:
-    """(text, token, token): each capitalised token to the next of the same key, within the window."""
+@functools.lru_cache(maxsize=200_000)
+def alike(key: str) -> str:
+    """What similar words have in common: no accents, no possessive ending."""
+    if not key.isascii():
+        key = "".join(c for c in unicodedata.normalize("NFD", key) if not unicodedata.combining(c))
+    return re.sub(r"['’]s?$", "", key)
+
+
+def skip_links(texts: list[Tokens]) -> np.ndarray:
+    """(text, token, token): each word to the next one alike."""
     out = []
     for i, t in enumerate(texts):
         last: dict[str, int] = {}
-        lo, hi = windows[i] if windows else (0, len(t.keys))
-        for j, (key, kind) in enumerate(zip(t.keys[lo:hi], t.kinds[lo:hi])):
-            if kind in ("capital", "upper", "email") and len(key) > 3:
+        for j, (key, kind) in enumerate(zip(t.keys, t.kinds)):
+            if kind in ("lower", "capital", "upper", "email") and len(key := alike(key)) > 3:
                 if key in last:
                     out.append((i, last[key], j))
                 last[key] = j
@@ -446,23 +453,20 @@ class Reader:
         for i, (a, b) in zip(live, at):
             a, b = a - REACH, b - REACH
             if before[b] > before[a]:
-                hits = np.flatnonzero(near[a:b])
-                jobs.append((i, a, max(0, int(hits[0]) - AROUND), min(b - a, int(hits[-1]) + 1 + AROUND)))
+                jobs.append((i, a, b - a))
         tokens = [Tokens(texts[i]) for i, *_ in jobs]
-        for group in _batches([hi - lo for _, _, lo, hi in jobs]):
-            lengths = np.array([jobs[g][3] - jobs[g][2] for g in group])
+        for group in _batches([n for *_, n in jobs]):
+            lengths = np.array([jobs[g][2] for g in group])
             width = int(lengths.max())
-            begin = np.array([jobs[g][1] + jobs[g][2] for g in group])
+            begin = np.array([jobs[g][1] for g in group])
             index = begin[:, None] + np.minimum(np.arange(width), lengths[:, None] - 1)
             e = np.where((np.arange(width) < lengths[:, None])[:, :, None], score[index], 0)
-            p = field.marginals(e, lengths, skip_links([tokens[g] for g in group], [jobs[g][2:] for g in group]))
+            p = field.marginals(e, lengths, skip_links([tokens[g] for g in group]))
             best = p.argmax(2)
             for r, g in enumerate(group):
-                i, _, lo, hi = jobs[g]
-                labels = np.zeros(len(tokens[g].keys), np.int64)
-                labels[lo:hi] = best[r, : hi - lo]
+                labels = best[r, : lengths[r]]
                 if labels.any():
-                    out[i] = (tokens[g], labels)
+                    out[jobs[g][0]] = (tokens[g], labels)
         return out
 
 
