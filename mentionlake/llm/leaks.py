@@ -4,7 +4,7 @@ Texts become words in one coarse form (case, accents, look-alikes, unseen signs
 punctuation set aside).  Of every ``window`` neighbouring hashes of ``k`` words the least
 is kept, so two texts that share window + k - 1 words in a row share a kept hash; with the
 default of 3 and 2 that is any four words.  The kept hashes of the items and of the
-documents meet in a join, which leaves candidate pairs only; each is then extended to the
+documents meet in a join; pairs with one hash in common are candidates; each is extended to the
 longest chain of words common to both in order, stepping over a changed or inserted word
 or two, and counts if the chain spans ``least`` words of the item.
 
@@ -144,7 +144,7 @@ def leaks(documents: DataFrame, items: DataFrame, k: int = K, window: int = WIND
     prints = it.select("item_id", F.explode(kept_hashes(F.col("item_words"), k, window)).alias("h")).groupBy("h").agg(F.collect_set("item_id").alias("ids"))
     docs = documents.select("doc_id", words(F.col("text")).alias("w"))
     hits = docs.select("doc_id", F.explode(kept_hashes(F.col("w"), k, window)).alias("h")).join(small(prints), "h")
-    pairs = hits.select("doc_id", F.explode("ids").alias("item_id")).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= 2)
+    pairs = hits.select("doc_id", F.explode("ids").alias("item_id")).distinct()
     pairs = cut(pairs, "pairs")
     # While few documents have candidates, their keys pick them at the scan and no other text moves.
     some = documents.select("doc_id", "text").join(small(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
