@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mentionlake.lexicon import WEIGHTS
+from mentionlake.session import small
 
 SIGNAL = ("location", "confidence", "source")
 
@@ -35,17 +36,15 @@ def hashtag_signals(df: DataFrame, key: str, tags: str, gazetteer: DataFrame) ->
 def timing_signals(df: DataFrame, key: str, ts: str, regions: DataFrame) -> DataFrame:
     """For each (offset, region): 0.2 if the local hour is 9 to 21, 0.1 if 7 to 23, else none.
 
-    Regions are a fixed list of a few dozen rows, unrolled into the row: no join is made.
+    Regions are laid out by the hours (UTC) in which they give a signal, and meet the rows by
+    hour; a list of any length is taken whole.
     """
-    rows = [(r.offset, r.region) for r in regions.select("offset", "region").distinct().orderBy("offset", "region").limit(100).collect()]
-    hour = lambda off: F.pmod(F.hour(F.col(ts)) + F.lit(off), F.lit(24))
-    each = [
-        F.struct(F.lit(region).alias("location"), F.when(hour(off).between(9, 21), 0.2).when(hour(off).between(7, 23), 0.1).alias("confidence"), F.when(hour(off).between(9, 21), "timing_peak").otherwise("timing_active").alias("source"))
-        for off, region in rows
-    ]
-    if not each:
-        return df.select(key, F.lit("").alias("location"), F.lit(0.0).alias("confidence"), F.lit("").alias("source")).limit(0)
-    return df.select(key, F.explode(F.array(*each)).alias("s")).select(key, "s.location", "s.confidence", "s.source").where(F.col("confidence").isNotNull())
+    local = F.pmod(F.col("_h") + F.col("offset"), F.lit(24))
+    hours = regions.select("offset", "region").distinct().withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    signals = hours.select(
+        "_h", F.col("region").alias("location"), F.when(local.between(9, 21), 0.2).when(local.between(7, 23), 0.1).alias("confidence"), F.when(local.between(9, 21), "timing_peak").otherwise("timing_active").alias("source")
+    ).where(F.col("confidence").isNotNull())
+    return df.select(key, F.hour(F.col(ts)).alias("_h")).join(small(signals), "_h").select(key, "location", "confidence", "source")
 
 
 def username_signals(df: DataFrame, key: str, username: str, gazetteer: DataFrame) -> DataFrame:
