@@ -4,7 +4,8 @@ Each value is brought to parts (year .. fraction, half of day, zone) by one tabl
 patterns.  A value with an offset is an instant at once; a value without one is local
 time and meets the offset intervals of its zone in an as-of join: the intervals are
 exploded to local years, so the join is an equality on (zone, year), and the interval
-that holds the local time is picked in the row.  Two intervals mean an ambiguous local
+that holds the local time is picked in the row.  The years 1971 to 2038 are always there,
+others from 1 to 9999 where the data have them (a distinct over zones and years).  Two intervals mean an ambiguous local
 time (the first is taken), none a nonexistent one (no instant), one gives the offset.
 
 Defined cases: null, blank, ``0`` and values that are no date give null with status
@@ -20,6 +21,7 @@ from __future__ import annotations
 import datetime as dt
 import functools
 import zoneinfo
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,7 +134,9 @@ def zone_intervals(zone: str, first: int = 1970, last: int = 2039) -> tuple[tupl
     """
     info, utc = zoneinfo.ZoneInfo(zone), dt.timezone.utc
     at = lambda s: int(dt.datetime.fromtimestamp(s, utc).astimezone(info).utcoffset().total_seconds())
-    lo, hi = (int(dt.datetime(y, 1, 1, tzinfo=utc).timestamp()) for y in (first, last + 1))
+    lo, hi = (int(dt.datetime(y, 1, 1, tzinfo=utc).timestamp()) for y in (max(first, 1), min(last + 1, 9999)))
+    lo, hi = lo + (3 * 86_400 if first < 1 else 0), hi + (363 * 86_400 if last > 9998 else 0)  # all that a datetime holds in any zone
+    ends = (4 * 86_400_000 if first < 1 else 0, 4 * 86_400_000 if last > 9998 else 0)
     step, out, begin, offset = 864_000, [], lo, at(lo)
     s = lo
     while s < hi:
@@ -146,24 +150,29 @@ def zone_intervals(zone: str, first: int = 1970, last: int = 2039) -> tuple[tupl
             begin, offset, s = b, at(b), b
         else:
             s = t
-    return tuple([*out, ((begin + offset) * 1000, (hi + offset) * 1000, offset * 1000)])
+    out.append(((begin + offset) * 1000, (hi + offset) * 1000, offset * 1000))
+    out[0] = (out[0][0] - ends[0], *out[0][1:])
+    out[-1] = (out[-1][0], out[-1][1] + ends[1], out[-1][2])
+    return tuple(out)
 
 
-def offset_table(spark: SparkSession, zones: list[str]) -> DataFrame:
+def offset_table(spark: SparkSession, zones: list[str], others: Sequence[tuple[str, int]] = ()) -> DataFrame:
     """One row for each zone and local year with the intervals that touch it.
 
-    At most (zones of the IANA base, about 600) x 70 rows, whatever the data hold.
+    At most (zones of the IANA base, about 600) x 70 rows, whatever the data hold, besides
+    the ``others``: (zone, year) that lie outside or at the edge of those years.
     """
-    rows = []
+    rows: dict[tuple[str, int], list] = {}
     year = lambda ms: dt.datetime.fromtimestamp(ms / 1000, dt.timezone.utc).year
     for z in sorted(zones):
         by: dict[int, list] = {}
         for a, b, off in zone_intervals(z):
             for y in range(year(a), year(b - 1) + 1):
                 by.setdefault(y, []).append((a, b, off))
-        rows += [(z, y, v) for y, v in by.items()]
+        rows |= {(z, y): v for y, v in by.items()}
+    rows |= {(z, y): list(zone_intervals(z, y - 1, y + 1)) for z, y in others}
     span = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b", "off")]))
-    return spark.createDataFrame(rows, T.StructType([T.StructField("_zone", T.StringType()), T.StructField("_year", T.IntegerType()), T.StructField("_spans", span)]))
+    return spark.createDataFrame([(*k, v) for k, v in rows.items()], T.StructType([T.StructField("_zone", T.StringType()), T.StructField("_year", T.IntegerType()), T.StructField("_spans", span)]))
 
 
 def known_zones(df: DataFrame, zone: str) -> list[str]:
@@ -181,7 +190,10 @@ def to_instants(df: DataFrame, value: str, zone: str, scraped: str, zones: list[
     name = F.when(F.trim(F.col(zone)) == "", F.lit(None)).otherwise(F.trim(F.col(zone)))
     needs = F.col("_utc").isNull() & F.col("_local").isNotNull() & ~F.coalesce(F.col("_badzone"), F.lit(False))
     df = df.withColumn("_z", F.when(needs, F.coalesce(name, F.lit("UTC")))).withColumn("_y", F.year(F.timestamp_millis(F.col("_local"))))
-    offsets = offset_table(spark, sorted({*zones, "UTC"}))
+    zones = sorted({*zones, "UTC"})
+    # Picked out here, as a filter would be pushed below and repeat all expressions of the parts.
+    seen = df.select(F.when(F.col("_z").isin(zones), F.col("_z")).alias("_z"), "_y").distinct().collect()
+    offsets = offset_table(spark, zones, [(r["_z"], r["_y"]) for r in seen if r["_z"] is not None and not 1971 <= r["_y"] <= 2038])
     df = df.join(F.broadcast(offsets), (F.col("_z") == F.col("_zone")) & (F.col("_y") == F.col("_year")), "left")
     hits = F.filter("_spans", lambda s: (F.col("_local") >= s["a"]) & (F.col("_local") < s["b"]))
     df = df.withColumn("_hits", F.transform(hits, lambda s: F.col("_local") - s["off"]))
