@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Settings that the operators rely on; sizes are left to the cluster.
 SETTINGS = {
@@ -36,17 +39,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bound on the bytes of a side that is sent to every executor.
+MOST_BROADCAST = 24_000_000
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``).
 
-    Where the session names none (tests, one machine) a temporary folder is set.
+    Where the session names none and its master is local, a temporary folder is made, which
+    goes with the process; on a cluster that is an error, since executors would write to
+    their own disks.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
         named = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="mentionlake-")
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="mentionlake-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = "file://" + own
         spark.conf.set("spark.checkpoint.dir", named)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
@@ -55,7 +69,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder, for a table that one query writes and reads."""
-    return f"{shared_dir(spark)}/mentionlake-{label}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/mentionlake-{label}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that queries of this process have cut; their results are no longer readable."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _made:
+        path = hadoop(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -65,13 +89,36 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else as it is.
+def _bytes(c: Column, t: T.DataType) -> Column:
+    """About how many bytes a value takes in a broadcast row."""
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(t, T.ArrayType):
+        if isinstance(t.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+            return F.coalesce(F.aggregate(c, F.lit(16).cast("bigint"), lambda a, x: a + _bytes(x, t.elementType)), F.lit(16).cast("bigint"))
+        return F.greatest(F.size(c), F.lit(0)) * 8 + 16
+    if isinstance(t, T.StructType):
+        return sum((_bytes(c[f.name], f.dataType) for f in t.fields), F.lit(16))
+    if isinstance(t, T.MapType):
+        return _bytes(F.map_entries(c), T.ArrayType(T.StructType([T.StructField("key", t.keyType), T.StructField("value", t.valueType)])))
+    return F.lit(8)
+
+
+def weighed(df: DataFrame) -> int:
+    """The bytes that all rows of ``df`` take, by a distributed sum."""
+    row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(8)).cast("bigint")
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def small(df: DataFrame, max_bytes: int = MOST_BROADCAST, written: bool = False) -> DataFrame:
+    """``df`` marked for broadcast if all its rows take at most ``max_bytes``, else as it is.
 
-    The rows are counted first (up to the bound), so what is broadcast has a checked size;
-    a larger side is left to a shuffled join.
+    The bytes are summed first, so what is broadcast has a checked size, and a larger side is
+    left to a shuffled join with the same result.  ``df`` is written before it is weighed, so
+    that it is computed once; ``written`` says that it already is a table.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    df = df if written else cut(df, "small")
+    return F.broadcast(df) if weighed(df) <= max_bytes else df
 
 
 def parallel(spark: SparkSession) -> int:
