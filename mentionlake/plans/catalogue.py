@@ -191,9 +191,8 @@ def city_priority(spark, d):
 
 
 # --- scalar functions ------------------------------------------------------------------------
-@query("SELECT tag, count(*) AS posts FROM (SELECT DISTINCT post_key, lower(tag) AS tag FROM (SELECT post_key, unnest(regexp_extract_all(coalesce(caption, ''), '#([a-zA-Z0-9_]+)', 1)) AS tag FROM posts)) GROUP BY tag ORDER BY posts DESC, tag LIMIT 10")
+@query(r"SELECT tag, count(*) AS posts FROM (SELECT DISTINCT post_key, lower(tag) AS tag FROM (SELECT post_key, unnest(regexp_extract_all(coalesce(caption, ''), '#([\p{L}\p{M}\p{N}_]+)', 1)) AS tag FROM posts)) GROUP BY tag ORDER BY posts DESC, tag LIMIT 10")
 def hashtag_top10(spark, d):
-    # Tags of all letters; the SQL above knows ASCII ones only, and differs wherever another tag counts.
     return summary.top_values(table(spark, d, "posts").withColumn("_h", X.hashtags(F.col("caption"))), "_h", 10, name="tag")
 
 
