@@ -41,6 +41,18 @@ def genuine_comments(df: DataFrame, comments: str, counted: str) -> DataFrame:
     return df.withColumns({comments: F.when(missing, kept).otherwise(F.col(comments)), counted: F.when(missing, F.size(kept).cast("bigint")).otherwise(F.col(counted))})
 
 
+def in_range(ts: Column, lo: str | None = None, hi: str | None = None) -> Column:
+    """Whether an instant lies in [lo, hi]; bounds are ISO dates or times in UTC, open where None.
+    A comparison with literals, so that a scan can skip what lies outside; null is outside."""
+    at = lambda x: F.to_timestamp(F.lit(x))
+    out = F.lit(True)
+    if lo is not None:
+        out = out & (ts >= at(lo))
+    if hi is not None:
+        out = out & (ts <= at(hi))
+    return out if lo is not None or hi is not None else F.lit(True)
+
+
 def stale(verified: Column, at: Column, days: int = 30) -> Column:
     """Whether something was last verified more than ``days`` days before ``at``; never verified is stale."""
     return F.coalesce(F.datediff(at, verified) > days, F.lit(True))

@@ -149,10 +149,17 @@ def local_hour(ts: Column, offset: Column) -> Column:
     return F.pmod(F.hour(ts) + offset, F.lit(24)).cast("int")
 
 
+# Letters of scripts other than Latin.
+SCRIPTS = {
+    "hangul": r"\x{AC00}-\x{D7AF}", "kana": r"\x{3040}-\x{30FF}", "han": r"\x{4E00}-\x{9FFF}", "arabic": r"\x{0600}-\x{06FF}",
+    "thai": r"\x{0E00}-\x{0E7F}", "devanagari": r"\x{0900}-\x{097F}", "cyrillic": r"\x{0400}-\x{04FF}",
+}
+
+
 def script_of(text: Column) -> Column:
     """The first script other than Latin that a text holds, null if none."""
     found = None
-    for name, span in (("hangul", r"\x{AC00}-\x{D7AF}"), ("kana", r"\x{3040}-\x{30FF}"), ("han", r"\x{4E00}-\x{9FFF}"), ("arabic", r"\x{0600}-\x{06FF}"), ("thai", r"\x{0E00}-\x{0E7F}"), ("devanagari", r"\x{0900}-\x{097F}"), ("cyrillic", r"\x{0400}-\x{04FF}")):
+    for name, span in SCRIPTS.items():
         hit = text.rlike(f"[{span}]")
         found = F.when(hit, F.lit(name)) if found is None else found.when(hit, F.lit(name))
     return found
@@ -183,3 +190,29 @@ def contained(text_lc: Column, words: Sequence[str]) -> Column:
 def mapped(c: Column, table: Mapping) -> Column:
     """Look-up in a small fixed table, null if absent."""
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c)
+
+
+def post_url(platform: Column, username: Column, post_id: Column) -> Column:
+    """The URL of a post by its author and id, null where one is missing or the platform unknown."""
+    out = None
+    for name, shape in (("x", "https://x.example/%s/status/%s"), ("tiktok", "https://www.tiktok.example/@%s/video/%s"), ("facebook", "https://www.facebook.example/%s/posts/%s")):
+        said = F.when(empty_to_null(username).isNotNull() & empty_to_null(post_id).isNotNull(), F.format_string(shape, username, post_id))
+        out = F.when(platform == name, said) if out is None else out.when(platform == name, said)
+    return out
+
+
+def story_url(url: Column, post_id: Column, site: str = "https://m.facebook.example") -> Column:
+    """The plain page of a post by its number; the page's own id is taken along from a permalink."""
+    page = F.when(F.contains(url, F.lit("permalink.php")), query_param(url, "id"))
+    return F.when(empty_to_null(post_id).isNotNull(), F.concat(F.lit(f"{site}/story.php?story_fbid="), post_id, F.coalesce(F.concat(F.lit("&id="), page), F.lit(""))))
+
+
+def comment_id(post_id: Column, text: Column, chars: int | None = None) -> Column:
+    """A derived id of a comment: 16 hex digits of the md5 of the post's id and the text (or its begin)."""
+    said = F.coalesce(text, F.lit(""))
+    return F.substring(F.md5(F.concat(F.coalesce(post_id, F.lit("")), F.substring(said, 1, chars) if chars else said).cast("binary")), 1, 16)
+
+
+def joined(values: Column, sep: str = ", ", sign: str = "") -> Column:
+    """A list as one string, '' for null; ``sign`` is put before each value."""
+    return F.array_join(F.transform(F.coalesce(values, F.expr("cast(array() as array<string>)")), lambda x: F.concat(F.lit(sign), x)), sep)

@@ -7,7 +7,7 @@ record without the id or text that its dialect requires is skipped; ``skipped``
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mentionlake.functions import text as X
@@ -125,9 +125,23 @@ def canonical(df: DataFrame, platform: str, v: str = "post") -> DataFrame:
     return ADAPTERS[platform](df, v)
 
 
+def normalized(df: DataFrame, platform: str, v: str = "post"):
+    """(canonical posts, counts): ``counts()`` tells read, post_count and skipped records after an
+    action over the posts, which counts them on its way (``DataFrame.observe``)."""
+    before, after = Observation(f"{platform}-read"), Observation(f"{platform}-posts")
+    one = F.count(F.lit(1)).alias("n")
+    posts = canonical(df.observe(before, one), platform, v).observe(after, one)
+
+    def counts() -> dict[str, int]:
+        read, kept = before.get["n"], after.get["n"]
+        return {"read": read, "post_count": kept, "skipped": read - kept}
+
+    return posts, counts
+
+
 def flat_post(df: DataFrame) -> DataFrame:
     """Canonical posts under the flat names that the annotation operators read."""
     return df.select(
-        "platform", "post_id", "post_url", "query", "ts", F.col("text").alias("caption"), F.col("author.username").alias("username"), F.col("author.followers").alias("follower_count"), "hashtags", "mentions", "engagement",
+        "platform", "post_id", "post_url", "query", "ts", "scraped_at", F.col("text").alias("caption"), F.col("author.verified").alias("is_verified"), F.col("author.username").alias("username"), F.col("author.followers").alias("follower_count"), "hashtags", "mentions", "engagement",
         F.col("comments").alias("comment_texts"), "location", "location_confidence", "lang_hint",
     ).withColumn("hashtags", F.transform("hashtags", lambda t: F.concat(F.lit("#"), t))).withColumn("mentions", F.transform("mentions", lambda t: F.concat(F.lit("@"), t)))

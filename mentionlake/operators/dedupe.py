@@ -50,3 +50,18 @@ def split_by(df: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
     """(rows for which ``good`` holds, all others, null included)."""
     ok = F.coalesce(good, F.lit(False))
     return df.where(ok), df.where(~ok)
+
+
+def merged_comments(stages: Sequence[DataFrame], post: str, text: str, order: Sequence[str]) -> DataFrame:
+    """Comments of several stages; of comments of one post with exactly the same text that of the
+    earlier stage stays, then the first by ``order``."""
+    return priority_union(stages, [post, text], order).drop("_priority")
+
+
+def replies(found: DataFrame, root: str, ident: str, order: Sequence[str], most: int | None = None) -> DataFrame:
+    """Replies below each root post: the root itself is left out, an id counts once (the first by
+    ``order``), ``position`` counts from 1, and at most ``most`` stay for each root."""
+    rows = found.where(F.col(ident).isNotNull() & (F.col(ident) != "") & (F.col(ident) != F.col(root)))
+    once = first_wins(rows, [root, ident], order)
+    placed = top_n(once, [root], [F.asc(c) for c in (*order, ident)], most if most is not None else 2**31 - 1, "position")
+    return placed

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,62 +92,196 @@ def tone(score: Column, positive: Column, negative: Column) -> Column:
     )
 
 
+#: What a model says of a text; scores_all holds the class probabilities, sentences the parts' scores.
+SCORED = "struct<score:double,magnitude:double,confidence:double,provider:string,scores_all:array<double>,sentences:array<struct<text:string,score:double>>>"
+
+
 class Scorer(Protocol):
-    """A sentiment model: loaded once for each worker, asked for a batch at a time."""
+    """A sentiment model: loaded once for each worker, asked for the texts of a batch at a time.
+
+    The loaded function gives scores as a Series, or a DataFrame with ``score`` and any of
+    ``magnitude``, ``confidence``, ``scores_all`` and ``sentences``."""
 
     name: str
 
-    def load(self) -> Callable[[pd.Series], pd.Series]: ...
+    def load(self) -> Callable[[pd.Series], pd.Series | pd.DataFrame]: ...
+
+
+class ThreeClass:
+    """A scorer over the logits (negative, neutral, positive) of a three-class model:
+    score = P(positive) - P(negative), confidence and magnitude = the greatest probability,
+    probabilities to four places."""
+
+    def __init__(self, name: str, load_logits: Callable[[], Callable[[pd.Series], np.ndarray]]):
+        self.name, self.load_logits = name, load_logits
+
+    def load(self) -> Callable[[pd.Series], pd.DataFrame]:
+        logits = self.load_logits()
+
+        def run(texts: pd.Series) -> pd.DataFrame:
+            x = np.asarray(logits(texts), float).reshape(len(texts), 3)
+            e = np.exp(x - x.max(1, keepdims=True))
+            p = np.round(e / e.sum(1, keepdims=True), 4)
+            return pd.DataFrame({"score": np.round(p[:, 2] - p[:, 0], 4), "magnitude": p.max(1), "confidence": p.max(1), "scores_all": list(p)})
+
+        return run
+
+
+def routes(remote: Scorer | None = None, local: Scorer | None = None) -> dict[str, list[Scorer]]:
+    """Which scorers a language tries in turn: English the remote one first, the mixed local
+    languages and unknown texts the local one, others the remote one; ``*`` is any other."""
+    chain = lambda *ss: [s for s in ss if s is not None]
+    table = {"english": chain(remote, local), **{k: chain(local) for k in ("swahili", "sheng", "mixed", "unknown")}, "*": chain(remote, local)}
+    return {k: v for k, v in table.items() if v}
+
+
+def _chains(scorers: Mapping) -> dict[str, list]:
+    return {k: list(v) if isinstance(v, (list, tuple)) else [v] for k, v in scorers.items()}
+
+
+def _route(texts: pd.Series, langs: pd.Series, chains: dict[str, list], models: dict) -> pd.DataFrame:
+    """Scores of the texts that have one and whose language has a chain; others stay null."""
+    n = len(texts)
+    out = {c: np.full(n, None, object) for c in ("score", "magnitude", "confidence", "provider", "scores_all", "sentences")}
+    texts, langs = texts.reset_index(drop=True), langs.reset_index(drop=True)
+    open_ = texts.notna().to_numpy()
+    named = langs.isin([k for k in chains if k != "*"]).to_numpy()
+    for lang, chain in chains.items():
+        at = np.flatnonzero(open_ & (~named if lang == "*" else (langs == lang).to_numpy()))
+        if not len(at):
+            continue
+        for scorer in chain:
+            try:
+                if scorer.name not in models:
+                    models[scorer.name] = scorer.load()
+                got = models[scorer.name](texts.iloc[at].reset_index(drop=True))
+            except Exception:  # the next of the chain takes over; the provider tells
+                continue
+            if not isinstance(got, pd.DataFrame):
+                got = pd.DataFrame({"score": np.asarray(got, float)})
+            size = got["score"].astype(float).abs()
+            rows = {"score": got["score"], "magnitude": got.get("magnitude", size), "confidence": got.get("confidence", got.get("magnitude", size).clip(upper=1.0)), "scores_all": got.get("scores_all"), "sentences": got.get("sentences")}
+            for c, values in rows.items():
+                for i, v in zip(at, values if values is not None else ()):
+                    out[c][i] = v
+            out["provider"][at] = scorer.name
+            break
+        else:
+            for c in ("score", "magnitude", "confidence"):
+                out[c][at] = 0.0
+            out["provider"][at] = f"{chain[-1].name}_error"
+    return pd.DataFrame(out)
+
+
+def _rows(found: pd.DataFrame) -> pd.DataFrame:
+    for c in ("score", "magnitude", "confidence"):
+        found[c] = pd.to_numeric(found[c])
+    return found
+
+
+def scored_by(text: Column, lang: Column, scorers: Mapping) -> Column:
+    """SCORED of a text by the scorers of its language, null where there is none; a scorer sees
+    only texts of its languages and is loaded once a worker."""
+    chains = _chains(scorers)
+
+    @pandas_udf(SCORED)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        models: dict = {}
+        for texts, langs in batches:
+            yield _rows(_route(texts, langs, chains, models))
+
+    return run(text, lang)
+
+
+def scored_each(texts: Column, langs: Column, scorers: Mapping) -> Column:
+    """array<SCORED> of an array of texts with an array of their languages."""
+    chains = _chains(scorers)
+
+    @pandas_udf(f"array<{SCORED}>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        models: dict = {}
+        for t, g in batches:
+            t, g = [x if x is not None else [] for x in t], [x if x is not None else [] for x in g]
+            flat = _route(pd.Series([y for x in t for y in x], dtype=object), pd.Series([y for x in g for y in x], dtype=object), chains, models).to_dict("records")
+            at, out = 0, []
+            for x in t:
+                out.append([r if r["provider"] is not None else None for r in flat[at : at + len(x)]])
+                at += len(x)
+            yield pd.Series(out)
+
+    return run(texts, langs)
+
+
+def sentiment(df: DataFrame, text: str, lang: str, scorers: Mapping | None = None, keyword_text: str | None = None) -> DataFrame:
+    """Adds positive, negative (keywords), score, label, provider, magnitude, confidence,
+    scores_all and sentences (both null without a model).
+
+    Languages with scorers go to them in turn (see ``routes``), all others to the lexicon,
+    whose magnitude is four times the share of keywords among the tokens, 1 at most.  Texts of
+    under five characters are neutral with provider none.  ``keyword_text``: another column
+    whose keywords are reported; the lexicon scores those of ``text``.
+    """
+    found = lambda c, t: keywords(F.col(c), F.col(lang), t)
+    df = df.withColumns({"positive": found(text, L.POSITIVE), "negative": found(text, L.NEGATIVE)})
+    long_enough = F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) >= LEAST_SENTIMENT
+    n, tokens = F.size("positive") + F.size("negative"), F.greatest(F.size(X.distinct_tokens(F.col(text))), F.lit(1))
+    strength = F.round(F.least(F.lit(1.0), 4 * n / tokens), 4)
+    df = df.withColumns({"score": F.when(long_enough, lexicon_score(F.col("positive"), F.col("negative"))).otherwise(F.lit(0.0)), "magnitude": F.when(long_enough, strength).otherwise(F.lit(0.0)), "provider": F.when(long_enough, F.lit("lexicon")).otherwise(F.lit("none"))})
+    df = df.withColumns({"confidence": F.col("magnitude"), "scores_all": F.lit(None).cast("array<double>"), "sentences": F.lit(None).cast("array<struct<text:string,score:double>>")})
+    if scorers:
+        df = df.withColumn("_model", scored_by(F.when(long_enough, F.col(text)), F.col(lang), scorers))
+        df = df.withColumns({c: F.when(F.col("_model.provider").isNotNull(), F.col(f"_model.{c}")).otherwise(F.col(c)) for c in ("score", "magnitude", "provider", "confidence", "scores_all", "sentences")}).drop("_model")
+    if keyword_text:
+        df = df.withColumns({"positive": found(keyword_text, L.POSITIVE), "negative": found(keyword_text, L.NEGATIVE)})
+    return df.withColumn("label", label_of(F.col("score")))
 
 
-def scored_by(text: Column, scorer: Scorer) -> Column:
-    """Scores in [-1, 1] by a model behind an Arrow UDF; the model is loaded once a worker."""
+def _long_comments(comments: str, most: int) -> Column:
+    first = F.slice(F.coalesce(F.col(comments), F.expr("array()")), 1, most)
+    return F.filter(first, lambda c: F.length(F.trim(F.coalesce(c["text"], F.lit("")))) >= LEAST_COMMENT)
 
-    @pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = scorer.load()
-        for b in batches:
-            yield model(b.fillna(""))
 
-    return run(text)
+def comment_details(df: DataFrame, comments: str, most: int, scorers: Mapping | None = None, chars: int = 100) -> Column:
+    """array<struct<text, score, label, provider>> of the first ``most`` comments, those of under
+    five characters left out, each in its own language; texts are cut to ``chars`` for display,
+    after they are scored."""
 
+    def told(c: Column, score: Column, provider: Column) -> Column:
+        return F.struct(F.substring(c["text"], 1, chars).alias("text"), score.alias("score"), label_of(score).alias("label"), provider.alias("provider"))
 
-def sentiment(df: DataFrame, text: str, lang: str, scorers: Mapping[str, Scorer] | None = None) -> DataFrame:
-    """Adds positive, negative (keywords), score, label, provider.
+    def by_lexicon(c: Column) -> Column:
+        score = let(language(c["text"])["language"], lambda lang: lexicon_score(keywords(c["text"], lang, L.POSITIVE), keywords(c["text"], lang, L.NEGATIVE)))
+        return let(score, lambda s: told(c, s, F.lit("lexicon")))
 
-    Languages with a scorer go to it; all others to the lexicon.  Texts of under five
-    characters are neutral with provider none.
-    """
-    pos, neg = keywords(F.col(text), F.col(lang), L.POSITIVE), keywords(F.col(text), F.col(lang), L.NEGATIVE)
-    df = df.withColumns({"positive": pos, "negative": neg})
-    long_enough = F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) >= LEAST_SENTIMENT
-    score, provider = lexicon_score(F.col("positive"), F.col("negative")), F.lit("lexicon")
-    for name, s in (scorers or {}).items():
-        # The model sees only the texts of its language.
-        mine = scored_by(F.when(long_enough & (F.col(lang) == name), F.col(text)), s)
-        score, provider = F.when(F.col(lang) == name, mine).otherwise(score), F.when(F.col(lang) == name, F.lit(s.name)).otherwise(provider)
-    df = df.withColumns({"score": F.when(long_enough, score).otherwise(F.lit(0.0)), "provider": F.when(long_enough, provider).otherwise(F.lit("none"))})
-    return df.withColumn("label", label_of(F.col("score")))
+    kept = _long_comments(comments, most)
+    plain = F.transform(kept, by_lexicon)
+    if not scorers:
+        return plain
+    models = scored_each(F.transform(kept, lambda c: c["text"]), F.transform(kept, lambda c: language(c["text"])["language"]), scorers)
+    both = F.arrays_zip(plain.alias("a"), models.alias("b"), kept.alias("c"))
+    return F.transform(both, lambda z: F.when(z["1"]["provider"].isNotNull(), told(z["2"], z["1"]["score"], z["1"]["provider"])).otherwise(z["0"]))
 
 
-def comment_scores(df: DataFrame, comments: str, most: int) -> Column:
-    """Mean score of the first ``most`` comments that are long enough, null if none is."""
-    first = F.slice(F.coalesce(F.col(comments), F.expr("array()")), 1, most)
-    kept = F.filter(first, lambda c: F.length(F.trim(F.coalesce(c["text"], F.lit("")))) >= LEAST_COMMENT)
+def mean_score(details: Column) -> Column:
+    """Mean of the scores, null if there is none."""
+    total = F.aggregate(details, F.lit(0.0), lambda a, x: a + x["score"])
+    return F.when(F.size(details) > 0, F.round(total / F.size(details), 4))
 
-    def score(c: Column) -> Column:
-        return let(language(c["text"])["language"], lambda lang: lexicon_score(keywords(c["text"], lang, L.POSITIVE), keywords(c["text"], lang, L.NEGATIVE)))
 
-    total = F.aggregate(F.transform(kept, score), F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(kept) > 0, F.round(total / F.size(kept), 4))
+def comment_scores(df: DataFrame, comments: str, most: int) -> Column:
+    """Mean score of the first ``most`` comments that are long enough, null if none is."""
+    return mean_score(comment_details(df, comments, most))
 
 
-def annotate_nlp(df: DataFrame, max_comments: int = 20, hint: str | None = None, scorers: Mapping[str, Scorer] | None = None) -> DataFrame:
-    """Language, keywords, sentiment and tone of captions, and the mean score of comments."""
+def annotate_nlp(df: DataFrame, max_comments: int = 20, hint: str | None = None, scorers: Mapping | None = None, comments: bool = True) -> DataFrame:
+    """Language, sentiment and tone of captions, keywords of captions and comments without tags,
+    and per comment its sentiment (``comment_details``, null if there is none) and their mean."""
     df = df.withColumn("language", language(F.col("caption"), F.col(hint) if hint else None)).withColumn("_lang", F.col("language.language"))
-    plain = df.withColumn("_plain", X.without_hashtags(F.col("caption")))
-    out = sentiment(plain, "_plain", "_lang", scorers)
+    said = F.array_join(F.transform(F.coalesce("comment_texts", F.expr("array()")), lambda c: F.coalesce(c["text"], F.lit(""))), " ")
+    plain = df.withColumns({"_plain": X.without_hashtags(F.col("caption")), "_all": X.without_hashtags(F.concat_ws(" ", "caption", said))})
+    out = sentiment(plain, "_plain", "_lang", scorers, "_all")
     out = out.withColumn("tone", tone(F.col("score"), F.size("positive"), F.size("negative")))
-    if max_comments > 0:
-        out = out.withColumn("comment_score", comment_scores(out, "comment_texts", max_comments))
-    return out.drop("_plain", "_lang")
+    if comments and max_comments > 0:
+        out = out.withColumn("_details", comment_details(out, "comment_texts", max_comments, scorers))
+        out = out.withColumns({"comment_score": mean_score(F.col("_details")), "comment_details": F.when(F.size("_details") > 0, F.col("_details"))}).drop("_details")
+    return out.drop("_plain", "_all", "_lang")

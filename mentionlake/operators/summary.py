@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mentionlake.operators.nlp import label_of
+from mentionlake.session import cut
 
 
 def score_stats(df: DataFrame, by: Sequence[str] = (), score: str = "score") -> DataFrame:
@@ -34,10 +35,10 @@ def top_values(df: DataFrame, values: str, n: int, by: Sequence[str] = (), name:
     return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def complaint_themes(df: DataFrame, n: int = 5, score: str = "score", topics: str = "topics") -> DataFrame:
+def complaint_themes(df: DataFrame, n: int = 5, score: str = "score", topics: str = "topics", by: Sequence[str] = ()) -> DataFrame:
     """Topics of posts whose score is under -0.25."""
     bad = df.where(F.col(score) < -0.25).withColumn("_t", F.transform(topics, lambda t: t["topic"]))
-    return top_values(bad, "_t", n, name="topic")
+    return top_values(bad, "_t", n, by, name="topic")
 
 
 def high_intent(df: DataFrame, by: Sequence[str] = (), intent: str = "intent", username: str = "username") -> DataFrame:
@@ -49,8 +50,25 @@ def weighted_engagement(weights: dict[str, float]) -> Column:
     return sum(F.coalesce(F.col(c), F.lit(0)).cast("decimal(20,2)") * F.lit(w).cast("decimal(6,2)") for c, w in weights.items())
 
 
-def top_posts(df: DataFrame, weights: dict[str, float], key: str, n: int = 5) -> DataFrame:
-    return df.select(key, weighted_engagement(weights).cast("double").alias("engagement")).orderBy(F.desc("engagement"), key).limit(n)
+def top_posts(df: DataFrame, weights: dict[str, float], key: str, n: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """The n posts (of each group) with the greatest weighted engagement."""
+    rows = df.select(*by, key, weighted_engagement(weights).cast("double").alias("engagement"))
+    if not by:
+        return rows.orderBy(F.desc("engagement"), key).limit(n)
+    w = Window.partitionBy(*by).orderBy(F.desc("engagement"), key)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def hinted(df: DataFrame, hint: str, by: Sequence[str] = ()) -> DataFrame:
+    """How many posts came with a language, of how many."""
+    return df.groupBy(*by).agg(F.count_if(F.trim(F.coalesce(F.col(hint), F.lit(""))) != "").alias("hinted"), F.count(F.lit(1)).alias("posts"))
+
+
+def run_report(df: DataFrame, ok: Column, by: Sequence[str], at: str) -> DataFrame:
+    """Rows, rows that went well, failed ones, and the seconds from first to last, for each group
+    (target, category) and every level above it."""
+    base = df.withColumns({"_ok": F.coalesce(ok, F.lit(False)).cast("bigint"), "_at": F.col(at).cast("timestamp")})
+    return base.rollup(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum("_ok").alias("ok"), (F.count(F.lit(1)) - F.sum("_ok")).alias("failed"), (F.unix_seconds(F.max("_at")) - F.unix_seconds(F.min("_at"))).alias("seconds"))
 
 
 def totals(df: DataFrame, by: Sequence[str], sums: Sequence[str]) -> DataFrame:
@@ -58,9 +76,22 @@ def totals(df: DataFrame, by: Sequence[str], sums: Sequence[str]) -> DataFrame:
     return df.rollup(*by).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in sums])
 
 
-def summarize(df: DataFrame, by: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """All summaries of annotated posts (see ``plans.pipeline``)."""
-    return {
-        "scores": score_stats(df, by), "languages": value_counts(df.withColumn("lang", F.col("language.language")), "lang", by), "tones": value_counts(df, "tone", by),
-        "positive_drivers": top_values(df, "positive", 10, by), "negative_drivers": top_values(df, "negative", 10, by), "complaint_themes": complaint_themes(df), "high_intent": high_intent(df, by),
+def summarize(df: DataFrame, by: Sequence[str] = (), weights: dict[str, float] | None = None, key: str = "post_id") -> dict[str, DataFrame]:
+    """All summaries of annotated posts (see ``plans.pipeline``), each by the columns ``by``.
+
+    What the summaries read is written once, so that no text is annotated again for each of
+    them.  ``weights``: of ``top_posts``; the default counts likes, comments and shares alike."""
+    columns = [c for c in (*by, key, "score", "language", "lang_hint", "tone", "positive", "negative", "topics", "intent", "username", "engagement") if c in df.columns]
+    df = cut(df.select(*dict.fromkeys(columns)).withColumn("lang", F.col("language.language")), "annotated")
+    out = {
+        "scores": score_stats(df, by), "languages": value_counts(df, "lang", by), "tones": value_counts(df, "tone", by),
+        "positive_drivers": top_values(df, "positive", 10, by), "negative_drivers": top_values(df, "negative", 10, by), "complaint_themes": complaint_themes(df, by=by), "high_intent": high_intent(df, by),
+        "high_intent_count": df.groupBy(*by).agg(F.count_if(F.col("intent.level") == "high").alias("posts")),
     }
+    if "engagement" in df.columns:
+        out["top_posts"] = top_posts(df, weights or {f"engagement.{c}": 1 for c in ("likes", "comments", "shares")}, key, 5, by)
+        flat = df.select(*by, F.col("engagement.views").alias("plays"), F.col("engagement.shares").alias("shares"))
+        out["totals"] = totals(flat, by, ["plays", "shares"]) if by else flat.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in ("plays", "shares")])
+    if "lang_hint" in df.columns:
+        out["hinted"] = hinted(df, "lang_hint", by)
+    return out

@@ -182,12 +182,24 @@ def account_tiers(spark, d):
     return a.groupBy(F.col("a.type").alias("type"), F.col("a.follower_tier").alias("tier")).agg(F.count(F.lit(1)).alias("posts"), F.max("a.confidence").alias("confidence"))
 
 
-@query("""WITH towns AS (SELECT lower(display) AS k, arg_min(display, ord) AS display, arg_min(county, ord) AS county FROM gazetteer WHERE area_type <> 'county' GROUP BY 1),
-s AS (SELECT post_key, location, location_confidence, list_filter(coalesce(geo_enrichment.top_signals, []), lambda x: contains(x.source, 'city') AND x.location IS NOT NULL) AS l FROM posts),
-b AS (SELECT *, list_max(list_transform(l, lambda x: struct_pack(c := x.confidence, l := x.location))) AS best, nullif(trim(split_part(location, ',', 1)), '') AS f FROM s)
-SELECT post_key, coalesce(t.display, b.best.l, b.f) AS city, t.county AS county, CASE WHEN b.best.l IS NOT NULL THEN 'signal' WHEN b.f IS NOT NULL THEN 'location' END AS city_source FROM b LEFT JOIN towns t ON t.k = lower(trim(coalesce(b.best.l, b.f)))""")
+_TOWNS = "towns AS (SELECT lower(trim(display)) AS k, arg_min(display, ord) AS display, arg_min(county, ord) AS county, min(ord) AS ord FROM gazetteer WHERE area_type <> 'county' GROUP BY 1)"
+
+
+@query(rf"""WITH {_TOWNS},
+s AS (SELECT post_key, unnest(geo_enrichment.top_signals) AS x, generate_subscripts(geo_enrichment.top_signals, 1) AS i FROM posts),
+n AS (SELECT post_key, i, coalesce(x.confidence, 0.5) AS c, contains(lower(x.source), 'city') AS is_city, coalesce(a.ord, b.ord) AS ord FROM s LEFT JOIN towns a ON contains(x.location, ',') AND a.k = trim(split_part(lower(trim(x.location)), ',', 1)) LEFT JOIN towns b ON b.k = lower(trim(x.location))),
+o AS (SELECT post_key, arg_min(ord, i) FILTER (r1 = 1) AS o1, max(c) FILTER (r1 = 1) AS c1, arg_min(ord, i) FILTER (r2 = 1) AS o2, max(c) FILTER (r2 = 1) AS c2 FROM (SELECT *, CASE WHEN is_city THEN row_number() OVER (PARTITION BY post_key, is_city ORDER BY c DESC, i) END AS r1, row_number() OVER (PARTITION BY post_key ORDER BY c DESC, i) AS r2 FROM n WHERE ord IS NOT NULL AND c > 0) GROUP BY post_key),
+f AS (SELECT post_key, coalesce(a.ord, b.ord) AS o3 FROM posts LEFT JOIN towns a ON contains(location, ',') AND a.k = trim(split_part(lower(trim(location)), ',', 1)) LEFT JOIN towns b ON b.k = lower(trim(location))),
+w AS (SELECT post_key, ' ' || array_to_string(regexp_extract_all(lower(coalesce(caption, '')), '([\p{{L}}\p{{M}}\p{{N}}_]+)', 1), ' ') || ' ' AS t FROM posts),
+g AS (SELECT post_key, min(ord) AS o4 FROM w JOIN towns ON contains(t, ' ' || array_to_string(regexp_extract_all(k, '([\p{{L}}\p{{M}}\p{{N}}_]+)', 1), ' ') || ' ') GROUP BY post_key),
+e AS (SELECT p.post_key, p.location_confidence, CASE WHEN o2 IS NOT NULL AND (o1 IS NULL OR c2 > c1) THEN o2 ELSE o1 END AS oe, CASE WHEN o2 IS NOT NULL AND (o1 IS NULL OR c2 > c1) THEN c2 ELSE c1 END AS ce, CASE WHEN o2 IS NOT NULL AND (o1 IS NULL OR c2 > c1) THEN 'candidate' ELSE 'signal' END AS se, o3, o4 FROM posts p LEFT JOIN o USING (post_key) LEFT JOIN f USING (post_key) LEFT JOIN g USING (post_key))
+SELECT post_key, display AS city, county, CASE WHEN oe IS NOT NULL THEN se WHEN o3 IS NOT NULL THEN 'location' WHEN o4 IS NOT NULL THEN 'caption' END AS city_source, CASE WHEN oe IS NOT NULL THEN round(ce, 2) WHEN o3 IS NOT NULL THEN round(round(coalesce(location_confidence, 0.5)::DECIMAL(6,4) * 0.8::DECIMAL(2,1), 4)::DOUBLE, 2) WHEN o4 IS NOT NULL THEN 0.55 END AS city_confidence
+FROM e LEFT JOIN towns t ON t.ord = coalesce(oe, o3, o4)""")
 def city_priority(spark, d):
-    return annotate.city_of(table(spark, d, "posts"), table(spark, d, "gazetteer")).select("post_key", "city", "county", "city_source")
+    # The tables hold signals only: each signal, of whatever source, stands as a candidate too.
+    candidates = F.transform("geo_enrichment.top_signals", lambda s: F.struct(s["location"].alias("location"), s["confidence"].alias("max_confidence"), s["latitude"].alias("latitude"), s["longitude"].alias("longitude")))
+    rows = annotate.city_of(table(spark, d, "posts"), table(spark, d, "gazetteer"), candidates=candidates)
+    return rows.select("post_key", "city", "county", "city_source", "city_confidence")
 
 
 # --- scalar functions ------------------------------------------------------------------------
@@ -376,14 +388,14 @@ def stale_accounts(spark, d):
 
 @query("SELECT post_key, string_agg(location, ',' ORDER BY rank) AS locations FROM (SELECT post_key, x.location AS location, row_number() OVER (PARTITION BY post_key ORDER BY x.confidence DESC, x.location) AS rank FROM (SELECT post_key, unnest(geo_enrichment.top_signals) AS x FROM posts) WHERE x.location IS NOT NULL) WHERE rank <= 3 GROUP BY post_key")
 def top_signals(spark, d):
-    s = table(spark, d, "posts").select("post_key", F.filter("geo_enrichment.top_signals", lambda x: x["location"].isNotNull()).alias("s")).where(F.size("s") > 0)
-    best = F.slice(F.array_sort(F.transform("s", lambda x: F.struct((-x["confidence"]).alias("c"), x["location"].alias("l")))), 1, 3)
-    return s.select("post_key", F.array_join(F.transform(best, lambda x: x["l"]), ",").alias("locations"))
+    s = table(spark, d, "posts").select("post_key", fusion.best_signals(F.col("geo_enrichment.top_signals"), 3).alias("s")).where(F.size("s") > 0)
+    return s.select("post_key", F.array_join(F.transform("s", lambda x: x["location"]), ",").alias("locations"))
 
 
 @query("SELECT post_key, display AS location FROM (SELECT DISTINCT post_key, unnest(regexp_extract_all(lower(coalesce(caption, '')), '([\\p{L}]+)', 1)) AS w FROM posts) JOIN (SELECT DISTINCT lower(display) AS w, display FROM gazetteer) USING (w)")
 def caption_places(spark, d):
-    return fusion.caption_signals(table(spark, d, "posts"), "post_key", "caption", table(spark, d, "gazetteer")).select("post_key", "location")
+    places = fusion.place_list(table(spark, d, "gazetteer"), ())
+    return fusion.mentioned(table(spark, d, "posts"), "post_key", "caption", places).select("post_key", "location").distinct()
 
 
 # --- totals, top lists, windows ----------------------------------------------------------------
@@ -452,7 +464,7 @@ def utc_offset_activity(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     r = spark.createDataFrame([(o, f"{o:+d}") for o in (-5, 0, 3, 5)], "offset int, region string")
     s = fusion.timing_signals(e, "event_id", "ts", r)
-    return s.groupBy(F.col("location").cast("int").alias("hours")).agg(F.count_if(F.col("source") == "timing_peak").alias("peak"), F.count_if(F.col("source") == "timing_active").alias("active"))
+    return s.groupBy(F.col("location").cast("int").alias("hours")).agg(F.count_if(F.col("source") == "post_timing_peak").alias("peak"), F.count_if(F.col("source") == "post_timing_active").alias("active"))
 
 
 @query("SELECT post_key, post_url, len(hashtags)::BIGINT AS tags FROM posts")

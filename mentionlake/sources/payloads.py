@@ -163,6 +163,28 @@ def next_link(page: Column, words: str = "more|next|zaidi") -> Column:
     return X.empty_to_null(F.regexp_extract(page, rf"""(?is)<a[^>]+href=["']([^"']+)["'][^>]*>(?:(?!</a>).)*(?:{words})""", 1))
 
 
+def page_fields(df: DataFrame, key: str, page: str) -> DataFrame:
+    """Fields of a landed post page, from its ``og:`` and other meta tags and its time and link
+    elements: caption, likes, comments, views, post_date, location, post_type, image, author,
+    username and profile_url; null where the page does not tell."""
+    p = F.col(page)
+    about = F.coalesce(meta(p, "description"), F.lit(""))
+    title = meta(p, "title")
+    count = lambda word: X.parse_count(F.regexp_extract(about, rf"(?i)([0-9][0-9.,]*[KMB]?)\s+{word}", 1))
+    url = meta(p, "url")
+    handle = F.coalesce(X.empty_to_null(F.regexp_extract(about, r"\(@([A-Za-z0-9._]+)\)", 1)), X.empty_to_null(F.regexp_extract(about, r"-\s+([A-Za-z0-9._]+)\s+(?:on|am|le)\s", 1)))
+    kind_ = F.when(F.contains(url, F.lit("/reel/")), "reel").when(meta(p, "video").isNotNull(), "video").when(p.rlike(r"(?i)carousel|sidecar"), "carousel").when(meta(p, "image").isNotNull(), "photo")
+    return df.select(
+        key,
+        F.coalesce(X.empty_to_null(F.regexp_extract(about, r"(?s):\s*[\"“&quot;]+(.*?)[\"”&quot;]+\.?\s*$", 1)), X.empty_to_null(F.regexp_extract(title, r"(?s):\s*[\"“](.*)[\"”]", 1)), title).alias("caption"),
+        count("likes?").alias("likes"), count("comments?").alias("comments"), count("(?:views?|plays?)").alias("views"),
+        X.from_iso(F.regexp_extract(p, r"""<time[^>]+datetime=["']([^"']+)["']""", 1)).alias("post_date"),
+        X.empty_to_null(F.regexp_extract(p, r"""<a[^>]+href=["'][^"']*/explore/locations/[^"']*["'][^>]*>([^<]+)<""", 1)).alias("location"),
+        kind_.alias("post_type"), meta(p, "image").alias("image"), X.empty_to_null(F.regexp_extract(title, r"^(.+?)\s+(?:on|auf|sur)\s+\w+\s*:", 1)).alias("author"),
+        handle.alias("username"), F.concat(F.lit("https://www.instagram.example/"), handle, F.lit("/")).alias("profile_url"),
+    )
+
+
 class _Blocks(HTMLParser):
     """div > h3 > a (author), text, abbr (time) and a link that counts likes."""
 

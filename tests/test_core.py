@@ -107,12 +107,50 @@ def test_fusion_arithmetic(spark):
     assert [(r.best_location, r.location_method) for r in fusion.located(posts, fusion.fuse(s, "k", weights), "k").orderBy("k").collect()] == [("rome", "fusion"), ("x", "native"), (None, None)]
 
 
-def test_signals(spark):
-    g = spark.createDataFrame([("Rome",), ("Ulm",)], "display string")
-    p = spark.createDataFrame([(1, "in ROME, rome!", ["#rome", "#Rome"], "rome.fan"), (2, None, None, None)], "k int, t string, h array<string>, u string")
-    assert [(r.location, r.confidence) for r in fusion.caption_signals(p, "k", "t", g).collect()] == [("Rome", 0.7)]
-    assert [(r.location, r.confidence) for r in fusion.hashtag_signals(p, "k", "h", g).collect()] == [("Rome", 0.65)]
-    assert [(r.location, r.confidence) for r in fusion.username_signals(p, "k", "u", g).collect()] == [("Rome", 0.65)]
+@pytest.fixture(scope="module")
+def places(spark):
+    g = spark.createDataFrame([(1, "Rome", "Latium", 41.9, 12.5, "urban"), (2, "Ulm", "Swabia", 48.4, 10.0, "urban"), (3, "Latium", "Latium", None, None, "county"), (4, "Bad Ems", "Hesse", 50.3, 7.7, "rural"), (5, "Rome", "Elsewhere", 1.0, 2.0, "rural")], "ord int, display string, county string, lat double, lon double, area_type string")
+    return fusion.place_list(g)
+
+
+def told(df):
+    return sorted((r.location, round(r.confidence, 4), r.source) for r in df.collect())
+
+
+def test_caption_signals(spark, places):
+    p = spark.createDataFrame([(1, "in ROME, rome! Based in Bad Ems. from Ulm, Привет", "a"), (2, None, "a"), (3, "", "a"), (4, "romeo in kenya", "a")], "k int, t string, location string")
+    got = told(fusion.caption_signals(p, "k", "t", places))
+    assert got == sorted([("Rome", 0.7, "caption_text_city"), ("Bad Ems", 0.7, "caption_text_city"), ("Ulm", 0.7, "caption_text_city"), ("Kenya", 0.6, "caption_text_country"), ("Bad Ems", 0.85, "caption_text_preposition"), ("Ulm", 0.85, "caption_text_preposition"), ("Rome", 0.85, "caption_text_preposition"), ("Eastern Europe", 0.25, "caption_text_language")])
+    rome = fusion.caption_signals(p, "k", "t", places).where("location = 'Rome'").first()
+    assert (rome.lat, rome.raw_matches) == (41.9, ["rome"])  # the first place of the name
+
+
+def test_hashtag_signals(spark, places):
+    p = spark.createDataFrame([(1, ["#ulmcity", None]), (2, ["#myulm"]), (3, ["#ulmxlatium"]), (4, None), (5, []), (6, ["#visitbadems", "#x"]), (7, ["#" + "a" * 30 + "ulm"])], "k int, h array<string>")
+    got = {(r.k, r.location): r.confidence for r in fusion.hashtag_signals(p, "k", "h", places).collect()}
+    # exact 1 + inside 1 + begin 0.75 + pattern 0.75 | inside 1 | inside 1 + begin 0.75, 0.5 | inside 1 + pattern 0.75
+    assert got == {(1, "Ulm"): 0.85, (2, "Ulm"): 0.5, (3, "Ulm"): 0.61, (3, "Latium"): 0.43, (6, "Bad Ems"): 0.61}
+
+
+def test_username_signals(spark, places):
+    p = spark.createDataFrame([(1, "rome.fan", None), (2, "x_ke", None), (3, "abc", "A lady of Rome"), (4, None, "Rome"), (5, "", None), (6, "somelongname_badems", "Latium girl")], "k int, u string, a string")
+    got = sorted((r.k, r.location, round(r.confidence, 2), r.source) for r in fusion.username_signals(p, "k", "u", places, "a").collect())
+    assert got == [(1, "Rome", 0.75, "username_city"), (2, "Kenya", 0.65, "username_code"), (3, "Rome", 0.6, "username_city"), (6, "Bad Ems", 0.65, "username_city"), (6, "Latium", 0.5, "username_country")]
+
+
+def test_bio_signals(spark, places):
+    p = spark.createDataFrame([(1, "based in Ulm. 🇰🇪🇰🇪"), (2, None), (3, "📍 Rome, Latium |")], "k int, b string")
+    got = told(fusion.bio_signals(p, "k", "b", places))
+    assert got == sorted([("Ulm", 0.75, "profile_bio_city"), ("Ulm", 0.8, "profile_bio_pattern"), ("Kenya", 0.65, "profile_bio_flag"), ("Rome", 0.75, "profile_bio_city"), ("Latium", 0.6, "profile_bio_country"), ("Rome, Latium", 0.85, "profile_bio_pattern")])
+
+
+def test_geo_result(spark):
+    s = spark.createDataFrame([(1, "Rome", 0.85, "hashtag_analysis", None, None), (1, " rome", 0.2, "post_timing_peak", 1.0, 2.0), (1, "Region", 0.75, "profile_bio_country", None, None), (1, "else", 0.2, "post_timing_peak", None, None), (1, "more", 0.1, "post_timing_peak", None, None)], "k int, location string, confidence double, source string, lat double, lon double")
+    r = fusion.geo_result(s, "k").first()
+    # the golden numbers: (0.85 x 1.2 + 0.2 x 0.3) x 1.2, 0.75 x 0.9, 0.2 x 0.3
+    assert [(c.location, c.score) for c in r.top_candidates] == [("Rome", 1.296), ("Region", 0.675), ("else", 0.06)]
+    assert (r.best_location, round(r.best_confidence, 4), r.signals_count, r.method_used) == ("Rome", 0.8979, 5, "hashtag_analysis, post_timing_peak")
+    assert (r.top_candidates[0].lat, [x.confidence for x in r.top_signals]) == (1.0, [0.85, 0.75, 0.2])
 
 
 def test_nearest_is_brute_force(spark):
