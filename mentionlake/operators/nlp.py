@@ -259,7 +259,7 @@ def comment_details(df: DataFrame, comments: str, most: int, scorers: Mapping |
         return plain
     models = scored_each(F.transform(kept, lambda c: c["text"]), F.transform(kept, lambda c: language(c["text"])["language"]), scorers)
     both = F.arrays_zip(plain.alias("a"), models.alias("b"), kept.alias("c"))
-    return F.transform(both, lambda z: F.when(z["1"]["provider"].isNotNull(), told(z["2"], z["1"]["score"], z["1"]["provider"])).otherwise(z["0"]))
+    return F.transform(both, lambda z: F.when(z["b"]["provider"].isNotNull(), told(z["c"], z["b"]["score"], z["b"]["provider"])).otherwise(z["a"]))
 
 
 def mean_score(details: Column) -> Column:

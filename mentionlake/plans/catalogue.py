@@ -143,29 +143,30 @@ def partner_by_type(spark, d):
 
 
 _B = [f"len(regexp_extract_all(coalesce({{0}}, ''), {q('(?i)' + p)}))" for p, _ in L.BRAND]
+_VARIANTS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {x.format('caption')} + {x.format('c')} > 0 THEN {q(v)} END" for x, (_, v) in list(zip(_B, L.BRAND))[1:]) + "], lambda v: v IS NOT NULL), ',')"
 _COMMENTS = "coalesce(array_to_string(list_transform(comment_texts, lambda c: coalesce(c.text, '')), chr(10)), '')"
 
 
-@query(f"SELECT post_key, (a + b)::BIGINT AS hits, CASE WHEN a > 0 AND b > 0 THEN 'caption,comments' WHEN a > 0 THEN 'caption' ELSE 'comments' END AS found_in FROM (SELECT post_key, {' + '.join(x.format('caption') for x in _B)} AS a, {' + '.join(x.format('c') for x in _B)} AS b FROM (SELECT post_key, caption, {_COMMENTS} AS c FROM posts)) WHERE a + b > 0")
+@query(f"SELECT post_key, (a + b)::BIGINT AS hits, CASE WHEN a > 0 AND b > 0 THEN 'caption,comments' WHEN a > 0 THEN 'caption' ELSE 'comments' END AS found_in, {_VARIANTS} AS variants FROM (SELECT *, {' + '.join(x.format('caption') for x in _B)} AS a, {' + '.join(x.format('c') for x in _B)} AS b FROM (SELECT post_key, caption, {_COMMENTS} AS c FROM posts)) WHERE a + b > 0")
 def brand_variants(spark, d):
     rows = table(spark, d, "posts").withColumn("_c", annotate.comment_text("comment_texts")).select("post_key", annotate.brand_mentions("caption", "_c").alias("b"))
-    return rows.where("b.count > 0").select("post_key", F.col("b.count").alias("hits"), F.array_join("b.found_in", ",").alias("found_in"))
+    return rows.where("b.count > 0").select("post_key", F.col("b.count").alias("hits"), F.array_join("b.found_in", ",").alias("found_in"), F.array_join("b.variants", ",").alias("variants"))
 
 
 def _campaign_sql() -> str:
     tags = "list_transform(coalesce(hashtags, []), lambda h: lower(h))"
     ms = "list_transform(coalesce(mentions, []), lambda h: lower(h))"
     rows = " UNION ALL ".join(
-        f"SELECT post_key, {q(c[0])} AS campaign_id, len(list_distinct(list_intersect({_list(c[3])}, {tags}))) + {_hits('coalesce(caption, chr(32))', c[4]) if c[4] else '0'} + len(list_distinct(list_intersect({_list(c[5])}, {ms}))) AS n FROM posts"
+        f"SELECT post_key, {q(c[0])} AS campaign_id, {q(c[1])} AS name, {q(c[2])} AS type, len(list_distinct(list_intersect({_list(c[3])}, {tags}))) + {_hits('coalesce(caption, chr(32))', c[4]) if c[4] else '0'} + len(list_distinct(list_intersect({_list(c[5])}, {ms}))) AS n FROM posts"
         for c in L.CAMPAIGNS
     )
-    return f"SELECT post_key, campaign_id, (least(60 + 10 * n, 95) / 100)::DOUBLE AS confidence, n::BIGINT AS signals FROM ({rows}) WHERE n > 0"
+    return f"SELECT post_key, campaign_id, name, type, (least(60 + 10 * n, 95) / 100)::DOUBLE AS confidence, n::BIGINT AS signals FROM ({rows}) WHERE n > 0"
 
 
 @query(_campaign_sql())
 def campaign_match(spark, d):
     rows = table(spark, d, "posts").select("post_key", F.explode(annotate.campaigns("caption", "hashtags", "mentions")).alias("c"))
-    return rows.select("post_key", "c.campaign_id", "c.confidence", F.size("c.signals").cast("bigint").alias("signals"))
+    return rows.select("post_key", "c.campaign_id", "c.name", "c.type", "c.confidence", F.size("c.signals").cast("bigint").alias("signals"))
 
 
 def _account_sql() -> str:
@@ -287,12 +288,16 @@ def high_intent_authors(spark, d):
     return summary.high_intent(_docs(spark, d).withColumn("intent", annotate.intent("text")), username="account").withColumnRenamed("account", "username")
 
 
-@query()
+_NOTED = _KEYS.replace("FROM documents", "FROM noted")
+
+
+@query(f"""WITH noted AS (SELECT post_key AS doc_id, i AS source, c.text AS text FROM (SELECT post_key, unnest(comment_texts) AS c, generate_subscripts(comment_texts, 1) AS i FROM posts) WHERE i <= 20 AND length(trim(coalesce(c.text, ''))) >= 5)
+SELECT p.post_key, comment_score FROM posts p LEFT JOIN (SELECT doc_id, round(avg(CASE WHEN len(pos) + len(neg) = 0 THEN 0.0 ELSE round((len(pos) - len(neg))::DECIMAL(18,6) / (len(pos) + len(neg)), 4)::DOUBLE END), 4) AS comment_score FROM ({_NOTED}) GROUP BY doc_id) ON doc_id = p.post_key""")
 def comment_scores(spark, d):
     return table(spark, d, "posts").select("post_key", nlp.comment_scores(table(spark, d, "posts"), "comment_texts", 20).alias("comment_score"))
 
 
-@query()
+@query("SELECT emoji, count(*) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(caption, ''), '([\\x{1F300}-\\x{1F5FF}\\x{1F600}-\\x{1F64F}\\x{1F680}-\\x{1F6FF}\\x{1F900}-\\x{1F9FF}\\x{2600}-\\x{26FF}\\x{2700}-\\x{27BF}])', 1)) AS emoji FROM posts) GROUP BY emoji")
 def emoji_counts(spark, d):
     rows = table(spark, d, "posts").select(F.explode(X.emoji(F.col("caption"))).alias("emoji"))
     return rows.groupBy("emoji").agg(F.count(F.lit(1)).alias("n"))
@@ -313,9 +318,10 @@ def priority_union(spark, d):
     return dedupe.priority_union([a, b], ["shortcode"], ["discovered_at", "google_page", "url"]).select("shortcode", "origin", "google_page")
 
 
-@query("SELECT DISTINCT url FROM discoveries a WHERE url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM posts b WHERE b.post_url = a.url)")
+@query("SELECT DISTINCT url FROM discoveries a WHERE url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM posts b WHERE b.post_url = a.url AND b.batch_no <= 10)")
 def seen_anti_join(spark, d):
-    p = table(spark, d, "posts").select(F.col("post_url").alias("url"))
+    """Against the posts of the first ten batches: what a run between batches would still have to visit."""
+    p = table(spark, d, "posts").where("batch_no <= 10").select(F.col("post_url").alias("url"))
     return dedupe.unseen(table(spark, d, "discoveries").where("url is not null"), p, ["url"]).select("url").distinct()
 
 

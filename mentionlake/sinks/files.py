@@ -41,7 +41,7 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, cu
         out = out.select(*[F.col(c) if c in out.columns else F.lit("").alias(c) for c in columns])
     if bom and out.columns:
         out = out.withColumnRenamed(out.columns[0], "﻿" + out.columns[0])
-    out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", _NULL).csv(path)
+    out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", _NULL).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 # The columns of the flat files, by dialect, each with what it reads of a canonical post.
@@ -99,7 +99,7 @@ def write_laid_out(posts: DataFrame, path: str, layout: str) -> None:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """What ``write_csv`` wrote, all texts; with ``schema`` the nested columns are made again."""
-    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", _NULL).option("emptyValue", "").csv(path)
+    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", _NULL).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     rows = rows.toDF(*[c.removeprefix("\ufeff") for c in rows.columns])
     return unflattened(rows, schema) if schema is not None else rows
 

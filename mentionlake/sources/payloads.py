@@ -1,7 +1,7 @@
 """Landed payloads: JSON documents and envelopes, newline-delimited JSON, HTML pages.
 
-Trees are walked with VARIANT functions inside the JVM: one level at a time, all nodes of
-a level in one projection, to a fixed depth.  Broken payloads give no rows.
+Trees are walked with VARIANT functions inside the JVM, by a fold over the levels of a
+payload to a fixed depth.  Broken payloads give no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mentionlake.functions import text as X
-from mentionlake.operators.shred import as_list, kind, member
+from mentionlake.functions.binding import let
+from mentionlake.operators.shred import as_list, kind, member, text
 
 
 def dig(v: Column, path: str, kind_: str = "string") -> Column:
@@ -40,19 +41,33 @@ def ndjson(df: DataFrame, body: str, key: str) -> DataFrame:
 
 def walk(df: DataFrame, key: str, v: str, match, max_depth: int = 12) -> DataFrame:
     """(key, depth, path, node): nodes for which ``match`` holds, to ``max_depth`` levels below
-    the root; a node that matches is not searched further."""
-    spark = df.sparkSession
-    level = df.select(F.col(key), F.lit("$").alias("path"), F.col(v).alias("node")).where(F.col("node").isNotNull())
-    out = None
-    for depth in range(max_depth + 1):
-        level = level.withColumn("_hit", F.coalesce(match(F.col("node")), F.lit(False)))
-        hits = level.where("_hit").select(key, F.lit(depth).alias("depth"), "path", "node")
-        out = hits if out is None else out.union(hits)
-        if depth == max_depth:
-            break
-        inside = level.where(~F.col("_hit")).drop("_hit").lateralJoin(spark.tvf.variant_explode(F.col("node").outer()).select(F.col("pos").alias("_p"), F.col("key").alias("_k"), F.col("value").alias("_v")))
-        level = inside.select(key, F.concat("path", F.coalesce(F.concat(F.lit("."), "_k"), F.concat(F.lit("["), F.col("_p").cast("string"), F.lit("]")))).alias("path"), F.col("_v").alias("node"))
-    return out
+    the root; a node that matches is not searched further.
+
+    A fold over the depths inside the row: it holds the nodes of one level and what was found
+    above it, so each payload is read and parsed once, whatever the depth.
+    """
+    node = "struct<path:string,node:variant>"
+    empty = lambda t: F.expr(f"cast(array() as array<{t}>)")
+
+    def below(n: Column) -> Column:
+        items, members = F.try_variant_get(n["node"], "$", "array<variant>"), F.try_variant_get(n["node"], "$", "map<string,variant>")
+        by_place = lambda x, i: F.struct(F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("node"))
+        by_name = lambda e: F.struct(F.concat(n["path"], F.lit("."), e["key"]).alias("path"), e["value"].alias("node"))
+        return F.coalesce(F.transform(items, by_place), F.transform(F.map_entries(members), by_name), empty(node))
+
+    def step(state: Column, depth: Column) -> Column:
+        judged = F.transform(state["level"], lambda n: F.struct(F.coalesce(match(n["node"]), F.lit(False)).alias("hit"), n.alias("n")))
+
+        def parted(j: Column) -> Column:
+            hits = F.transform(F.filter(j, lambda x: x["hit"]), lambda x: F.struct(depth.alias("depth"), x["n"]["path"].alias("path"), x["n"]["node"].alias("node")))
+            rest = F.when(depth < max_depth, F.flatten(F.transform(F.filter(j, lambda x: ~x["hit"]), lambda x: below(x["n"])))).otherwise(empty(node))
+            return F.struct(rest.alias("level"), F.concat(state["found"], hits).alias("found"))
+
+        return let(judged, parted)
+
+    start = F.struct(F.array(F.struct(F.lit("$").alias("path"), F.col(v).alias("node"))).alias("level"), empty("struct<depth:int,path:string,node:variant>").alias("found"))
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(max_depth)), start, step, lambda s: s["found"])
+    return df.where(F.col(v).isNotNull()).select(key, F.explode(found).alias("_f")).select(key, "_f.depth", "_f.path", "_f.node")
 
 
 def is_tweet(v: Column) -> Column:
@@ -99,7 +114,7 @@ def _down(v: Column, path) -> Column:
 def story_rows(nodes: DataFrame, key: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
     """Post nodes as rows; alternatives of a field are tried in turn; the time range is inclusive."""
     n = F.col("node")
-    some = lambda *paths: F.coalesce(*[X.empty_to_null(dig(n, p)) for p in paths], F.lit(""))
+    some = lambda *paths: F.coalesce(*[X.empty_to_null(text(dig(n, p, "variant"))) for p in paths], F.lit(""))
     reactions = F.coalesce(dig(n, "reaction_count.count", "bigint"), dig(n, "reaction_count", "bigint"), dig(n, "reactions", "bigint"))
     top = F.aggregate(F.transform(as_list(_down(n, ("top_reactions", "edges"))), lambda e: F.coalesce(dig(e, "reaction_count", "bigint"), F.lit(0))), F.lit(0).cast("bigint"), lambda a, x: a + x)
     told = X.parse_count(dig(n, "i18n_reaction_count"))
@@ -176,7 +191,7 @@ def page_fields(df: DataFrame, key: str, page: str) -> DataFrame:
     kind_ = F.when(F.contains(url, F.lit("/reel/")), "reel").when(meta(p, "video").isNotNull(), "video").when(p.rlike(r"(?i)carousel|sidecar"), "carousel").when(meta(p, "image").isNotNull(), "photo")
     return df.select(
         key,
-        F.coalesce(X.empty_to_null(F.regexp_extract(about, r"(?s):\s*[\"“&quot;]+(.*?)[\"”&quot;]+\.?\s*$", 1)), X.empty_to_null(F.regexp_extract(title, r"(?s):\s*[\"“](.*)[\"”]", 1)), title).alias("caption"),
+        F.coalesce(X.empty_to_null(F.regexp_extract(about, r"(?s):\s*(?:[\"“”]|&quot;)(.*)(?:[\"“”]|&quot;)\.?\s*$", 1)), X.empty_to_null(F.regexp_extract(title, r"(?s):\s*[\"“](.*)[\"”]", 1)), title).alias("caption"),
         count("likes?").alias("likes"), count("comments?").alias("comments"), count("(?:views?|plays?)").alias("views"),
         X.from_iso(F.regexp_extract(p, r"""<time[^>]+datetime=["']([^"']+)["']""", 1)).alias("post_date"),
         X.empty_to_null(F.regexp_extract(p, r"""<a[^>]+href=["'][^"']*/explore/locations/[^"']*["'][^>]*>([^<]+)<""", 1)).alias("location"),

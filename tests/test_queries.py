@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from mentionlake.plans import catalogue
+from mentionlake.plans import catalogue, landed  # noqa: F401
 
 
 def same(df):
