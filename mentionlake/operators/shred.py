@@ -1,36 +1,44 @@
 """Flat tables from nested records by shared inlining (problem 3).
 
-``schema_graph`` analyses a VARIANT column level by level: one distributed aggregation
-per level gives every path with the kinds seen there, so the whole data decide, not a
-sample.  ``inline_plan`` then applies shared inlining: singleton descendants become
-columns of the nearest table above, while elements that repeat, are reached from several
-parents or contain themselves get a table of their own with a foreign key.  ``shred``
-builds the tables of such a plan.  ``POST_PLAN`` says what the known tables of landed
-posts hold; ``post_plans`` holds it against the inlined graph of the data and gives every
-other element that repeats, is shared or recursive a table too.  ``p3_found`` reads its
-rows from the tables that ``shred`` makes of these plans.  Members whose names hold a dot,
-a quote or a bracket cannot be told apart by path and get no table of their own.
+``schema_graph`` analyses a column of JSON text: every path with the kinds seen there is
+counted in one distributed pass, so the whole data decide, not a sample.  ``inline_plan``
+then applies shared inlining: singleton descendants become columns of the nearest table
+above, while elements that repeat, are reached from several parents or contain themselves
+get a table of their own with a foreign key.  ``post_plan`` does so for landed posts: the
+post is shared (a payload is one, lists them or holds them in an envelope), elements that
+TESTDATA.md declares as lists repeat even where the data have lone objects only, and an
+element below itself goes to the table of the outer one.  ``shred`` fills the tables of a
+plan in a second pass over the payloads, and ``p3_found`` reads its rows from them.
+
+Both passes parse a payload once, in Arrow batches of Python: shapes differ from record to
+record, and the same over VARIANT (a value opened, tested and cast at each level) took
+1,937 CPU seconds a GB.
 
 Shapes are made alike before they are cut up: a lone object or scalar where a list
 belongs is a list of one, and a list or object that stands as JSON text counts as what it
 holds.  Null elements keep their place in the numbering and give no row.  A payload that
-is null, empty or broken gives no row in any table.  Repeated records stay repeated, told
-apart only by the key columns of the caller.
+is null, empty or broken gives no row in any table; of a member that stands twice the last
+counts.  Repeated records stay repeated, told apart only by the key columns of the caller.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field, replace
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mentionlake.functions.binding import let
-from mentionlake.session import cut
+from mentionlake.session import scratch
 
-#: Bound on the paths that one level of the analysis brings to the driver.
+#: Bound on the paths of the schema graph, which come to the driver.
 MAX_PATHS = 10_000
+#: Rows of a batch that ``shred`` gives.
+BATCH_ROWS = 20_000
 
 
 def _array(v: Column) -> Column:
@@ -76,6 +84,11 @@ def member(v: Column, name: str) -> Column:
     return F.try_variant_get(opened(v), f"$.{name}", "variant")
 
 
+def text(v: Column) -> Column:
+    """The text of a scalar, null for objects, lists and null."""
+    return F.when(kind(v) == "scalar", F.try_variant_get(v, "$", "string"))
+
+
 @dataclass(frozen=True)
 class Element:
     """A node of the schema graph: its path from the root, the kinds seen, and how often."""
@@ -92,32 +105,89 @@ class Element:
         return "array" in self.kinds
 
 
-def schema_graph(df: DataFrame, payload: str, max_depth: int = 16) -> list[Element]:
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+_decode = json.JSONDecoder(parse_float=str, parse_constant=_no_constant).decode
+
+
+def _parsed(said: str | None):
+    """What a payload holds, None if it is broken."""
+    if not said:
+        return None
+    try:
+        return _decode(said)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _open(v):
+    """``v``, or what it holds if it is JSON text of a list or object."""
+    if type(v) is str and v.lstrip(" \t\n\r\x0b\x0c")[:1] in ("[", "{"):
+        held = _parsed(v)
+        return v if held is None else held
+    return v
+
+
+def _said(v) -> str | None:
+    """The text of a scalar, None for objects, lists and null."""
+    if v is None or type(v) in (dict, list):
+        return None
+    if type(v) is bool:
+        return "true" if v else "false"
+    v = v if type(v) is str else str(v)
+    return v if v.isascii() else v.encode("utf-8", "replace").decode()
+
+
+def _kind_of(v) -> str:
+    return "null" if v is None else "array" if type(v) is list else "object" if type(v) is dict else "scalar"
+
+
+def _count(v, path: str, found: dict[tuple[str, str], int]) -> None:
+    v = _open(v)
+    key = (path, _kind_of(v))
+    found[key] = found.get(key, 0) + 1
+    if type(v) is dict:
+        for k, w in v.items():
+            _count(w, f"{path}.{k}", found)
+    elif type(v) is list:
+        below = path + "[]"
+        for w in v:
+            _count(w, below, found)
+
+
+def schema_graph(df: DataFrame, payload: str, member_: str | None = None) -> list[Element]:
     """The elements below a column of JSON text, over all rows.
 
-    Each level aggregates (path, kind) before anything moves, so a level brings at most
-    one row for each path and kind to the driver; more than MAX_PATHS paths is an error
-    (then members are data, not structure).
+    ``member_``: the member in which an envelope lists its elements; a lone object without it
+    counts as a list of one, so that paths below ``$.`` are an envelope's.
+
+    Each batch counts its (path, kind) before anything moves; more than MAX_PATHS paths is an
+    error (then members are data, not structure).
     """
-    level = df.select(F.lit("$").alias("path"), opened(F.try_parse_json(F.col(payload))).alias("v")).where(F.col("v").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, str], int] = {}
+        for b in batches:
+            for said in b.column(0).to_pylist():
+                if (v := _parsed(said)) is not None:
+                    try:
+                        v = _open(v)
+                        _count(v, "$[]" if member_ and type(v) is dict and member_ not in v else "$", found)
+                    except RecursionError:
+                        continue
+            if len(found) > 4 * MAX_PATHS:
+                raise ValueError(f"more than {MAX_PATHS} paths")
+        rows = [(p.encode("utf-8", "replace").decode(), k, n) for (p, k), n in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["path", "kind", "n"])
+
+    counts = df.select(payload).where(F.col(payload).isNotNull()).mapInArrow(run, "path string, kind string, n bigint").groupBy("path", "kind").agg(F.sum("n").alias("n")).limit(4 * MAX_PATHS + 1).collect()
     found: dict[str, dict[str, int]] = {}
-    for _ in range(max_depth):
-        level = level.withColumn("kind", kind(F.col("v")))
-        counts = level.groupBy("path", "kind").count().limit(MAX_PATHS + 1).collect()
-        if len(counts) > MAX_PATHS:
-            raise ValueError(f"more than {MAX_PATHS} paths in one level")
-        if not counts:
-            break
-        for r in counts:
-            found.setdefault(r.path, {})[r["kind"]] = r["count"]
-        if not any(r["kind"] in ("array", "object") for r in counts):
-            break
-        below = (
-            level.where(F.col("kind").isin("array", "object"))
-            .lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("k"), F.col("value").alias("w")))
-            .select(F.concat("path", F.when(F.col("k").isNull(), F.lit("[]")).otherwise(F.concat(F.lit("."), F.col("k")))).alias("path"), opened(F.col("w")).alias("v"))
-        )
-        level = cut(below, "graph")  # else every level goes through all levels above it again
+    for r in counts:
+        found.setdefault(r.path, {})[r.kind] = r.n
+    if len(found) > MAX_PATHS:
+        raise ValueError(f"more than {MAX_PATHS} paths")
     return [Element(p, k) for p, k in sorted(found.items())]
 
 
@@ -151,206 +221,262 @@ def inline_plan(graph: list[Element]) -> dict[str, list[str]]:
 
 
 @dataclass(frozen=True)
-class Repeated:
-    """A table of the plan: where its elements stand below its parent, and its columns.
-
-    path: members from the parent's value to the list; names: other names of the last one;
-    columns: name -> function from the element (VARIANT) to a column.
-    """
+class Table:
+    """A table of a plan: its path of members below the root element, the tables above it from the
+    outermost, its inlined columns (name -> members below an element), and whether it is recursive."""
 
     name: str
     path: tuple[str, ...]
-    columns: dict
-    names: tuple[str, ...] = ()
-    children: tuple["Repeated", ...] = ()
+    above: tuple[str, ...] = ()
+    columns: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    recursive: bool = False
 
 
-def text(v: Column) -> Column:
-    """The text of a scalar, null for objects, lists and null."""
-    return F.when(kind(v) == "scalar", F.try_variant_get(v, "$", "string"))
-
-
-def _at(v: Column, r: Repeated) -> Column:
-    for name in r.path[:-1]:
-        v = member(v, name)
-    if not r.path:
-        return v
-    return F.coalesce(*[member(v, n) for n in (r.path[-1], *r.names)])
-
-
-def _elements(df: DataFrame, keys: list[str], of: Column, ord_name: str) -> DataFrame:
-    rows = df.select(*keys, F.posexplode(as_list(of)).alias(ord_name, "_v"))
-    return rows.where(F.col("_v").isNotNull() & ~F.is_variant_null(F.col("_v"))).withColumn("_v", opened(F.col("_v")))
-
-
-def shred(df: DataFrame, keys: list[str], payload: str, plan: Repeated) -> dict[str, DataFrame]:
-    """One table for each Repeated of the plan.
-
-    A table has the caller's ``keys``, ``<ancestor>_ord`` for each table above (the foreign
-    key), ``<name>_ord`` (the place in its list, nulls counted) and the inlined columns.
-    The payloads are parsed once; the values of the first table go to the shared folder, and
-    all tables are made of those.
-    """
-    root = df.select(*keys, opened(F.try_parse_json(F.col(payload))).alias("_v")).where(F.col("_v").isNotNull() & (kind(F.col("_v")).isin("array", "object")))
-    inner = member(F.col("_v"), plan.path[-1]) if plan.path else F.lit(None)
-    start = F.when(kind(F.col("_v")) == "object", F.coalesce(inner, F.col("_v"))).otherwise(F.col("_v"))
-    out: dict[str, DataFrame] = {}
-
-    def build(values: DataFrame, above: list[str], r: Repeated) -> None:
-        here = [*above, f"{r.name}_ord"]
-        out[r.name] = values.select(*here, *[f(F.col("_v")).alias(n) for n, f in r.columns.items()])
-        for c in r.children:
-            build(_elements(values, here, _at(F.col("_v"), c), f"{c.name}_ord"), here, c)
-
-    build(cut(_elements(root, keys, start, f"{plan.name}_ord").where(kind(F.col("_v")) == "object"), plan.name), list(keys), plan)
-    return out
-
-
-def _author(v: Column) -> Column:
-    a = member(v, "author")
-    return F.coalesce(F.when(kind(opened(a)) == "object", text(member(a, "username"))).otherwise(text(a)), F.lit(""))
-
+@dataclass(frozen=True)
+class Plan:
+    """The tables of one root element (first the root's own), and what stands beside it in an envelope."""
 
-def _field(name: str):
-    return lambda v: F.coalesce(text(member(v, name)), F.lit(""))
+    name: str
+    member: str
+    tables: tuple[Table, ...]
+    beside: tuple[Table, ...] = ()
+    names: tuple[tuple[str, str], ...] = ()
+    labels: tuple[tuple[str, tuple[tuple[str, ...], ...]], ...] = ()
 
 
-POST_PLAN = Repeated(
-    "post", ("posts",), {"post_url": _field("post_url"), "username": _field("username"), "caption": _field("caption")},
-    children=(
-        Repeated(
-            "comment", ("comment_texts",), {"author": _author, "body": lambda v: F.coalesce(text(member(v, "text")), text(v))}, names=("comments_json",),
-            children=(Repeated("reply", ("replies",), {"author": _author, "body": lambda v: F.coalesce(text(member(v, "text")), text(v))}),),
-        ),
-        Repeated("signal", ("geo_enrichment", "top_signals"), {"location": _field("location"), "source": _field("source")}, children=(Repeated("signal_match", ("raw_matches",), {"value": text}),)),
-        Repeated("candidate", ("geo_enrichment", "top_candidates"), {"location": _field("location")}, children=(Repeated("candidate_source", ("sources",), {"value": text}),)),
-        Repeated("product", ("product_mentions",), {"product": _field("product"), "category": _field("category")}, children=(Repeated("product_place", ("found_in",), {"value": text}),)),
-    ),
-)
-#: child -> (table above or none, column that labels it)
+#: Elements that are lists by declaration, by table name; other elements are found in the data.
+DECLARED = {
+    "comment": ("comment_texts",), "reply": ("comment_texts", "replies"), "signal": ("geo_enrichment", "top_signals"), "signal_match": ("geo_enrichment", "top_signals", "raw_matches"),
+    "candidate": ("geo_enrichment", "top_candidates"), "candidate_source": ("geo_enrichment", "top_candidates", "sources"), "product": ("product_mentions",), "product_place": ("product_mentions", "found_in"),
+}
+#: Other names of members of a post.
+OTHER_NAMES = {"comments_json": "comment_texts"}
+#: child -> (table above or none, the members of an element that label it; () is the element itself)
 LABELS = {
-    "comment": (None, "author"), "reply": ("comment", "author"), "signal": (None, "location"), "signal_match": ("signal", "value"),
-    "candidate": (None, "location"), "candidate_source": ("candidate", "value"), "product": (None, "product"), "product_place": ("product", "value"),
+    "comment": (None, (("author", "username"), ("author",))), "reply": ("comment", (("author", "username"), ("author",))), "signal": (None, (("location",),)), "signal_match": ("signal", ((),)),
+    "candidate": (None, (("location",),)), "candidate_source": ("candidate", ((),)), "product": (None, (("product",),)), "product_place": ("product", ((),)),
 }
 
 
-def _column(path: str):
-    def of(v: Column) -> Column:
-        for name in path.split("."):
-            v = member(v, name)
-        return text(v)
-
-    return of
-
-
-def _without_root(graph: list[Element], plan: Repeated) -> list[Element]:
-    """The graph as seen from one element of the plan's first table, other names made one."""
-    same = {n: c.path[-1] for c in plan.children for n in c.names}
+def _below_root(graph: list[Element], member_: str, other: dict[str, str], beside: bool) -> dict[str, dict[str, int]]:
+    """Path -> kinds as seen from the root element (or, ``beside``, from the envelope without it)."""
     found: dict[str, dict[str, int]] = {}
     for e in graph:
-        names = e.path.removeprefix("$[]").removeprefix("$").split(".")[1:]
-        if plan.path and names and names[0].removesuffix("[]") == plan.path[-1]:
-            names = names[1:]
-        if names:
-            first = names[0].removesuffix("[]")
-            names[0] = same.get(first, first) + names[0][len(first) :]
-            kinds = found.setdefault(".".join(["$", *names]), {})
-            for k, n in e.kinds.items():
-                kinds[k] = kinds.get(k, 0) + n
-    return [Element(p, k) for p, k in sorted(found.items())]
+        names = e.path.split(".")[1:]
+        of_envelope = e.path.startswith("$.")
+        listed = of_envelope and names[0].replace("[]", "") == member_
+        if beside != (of_envelope and not listed):
+            continue
+        names = names[1:] if listed else names
+        if not names:
+            continue
+        first = names[0].replace("[]", "")
+        names[0] = other.get(first, first) + names[0][len(first) :]
+        kinds = found.setdefault(".".join(["$", *names]), {})
+        for k, n in e.kinds.items():
+            kinds[k] = kinds.get(k, 0) + n
+    return found
+
+
+def _tables(kinds: dict[str, dict[str, int]], declared: dict[str, tuple[str, ...]], prefix: str) -> list[Table]:
+    """The tables that shared inlining gives, besides the root's own, outer ones first; root first."""
+    inlined = inline_plan([Element(p, k) for p, k in sorted(kinds.items())])
+    own = {tuple(p.split(".")[1:]): list(c) for p, c in inlined.items() if p != "$"}
+    for path in declared.values():
+        own.setdefault(path, [])
+
+    def outer(path: tuple[str, ...]) -> tuple[str, ...]:
+        """The table of an element that lies below another of its name: that of the outer one."""
+        out: tuple[str, ...] = ()
+        for i, n in enumerate(path):
+            again = n in out and path[: i + 1] in own and out[: out.index(n) + 1] in own
+            out = out[: out.index(n) + 1] if again else (*out, n)
+        return out
+
+    scalars = {p.replace("[]", "") for p, k in kinds.items() if "scalar" in k}
+    columns: dict[tuple[str, ...], dict[str, tuple[str, ...]]] = {(): {}}
+    recursive = set()
+    for path in sorted(own, key=len):
+        at = outer(path)
+        if at != path:
+            recursive.add(at)
+        columns.setdefault(at, {})
+    every = sorted(p.split(".")[1:] for p in {p.replace("[]", "") for p in kinds} if p != "$")
+    holds = {tuple(p[:-1]) for p in every}
+    for p in map(tuple, every):
+        if p in own or p in holds:
+            continue
+        k = next(i for i in range(len(p) - 1, -1, -1) if i == 0 or p[:i] in own)
+        columns[outer(p[:k])]["_".join(p[k:])] = p[k:]
+    named, names = {v: k for k, v in declared.items()}, {}
+    out = []
+    for path in sorted(columns, key=lambda x: (len(x), x)):
+        above = [path[:i] for i in range(1, len(path)) if path[:i] in columns]
+        cs = dict(columns[path])
+        if path and ("$." + ".".join(path) in scalars or not cs):
+            cs["_value" if "value" in cs else "value"] = ()
+        near = above[-1] if above else ()
+        names[path] = named.get(path) or "_".join(filter(None, (names.get(near, prefix), *path[len(near) :])))
+        out.append(Table(names[path], path, tuple(names[x] for x in above), tuple(cs.items()), path in recursive))
+    return out
 
 
-def completed(plan: Repeated, graph: list[Element]) -> Repeated:
-    """``plan`` with a table for each one of the inlined graph that it has none for."""
-    scalars = {e.path.replace("[]", "") for e in graph if e.path.endswith("[]") and "scalar" in e.kinds}
-    extra: dict[tuple[str, ...], list[str]] = {}
-    for path, columns in inline_plan(graph).items():
-        names = tuple(path.split(".")[1:])
-        if names and all(re.fullmatch(r"\w[\w -]*", n) for n in names):
-            extra[names] = [c for c in columns if all(re.fullmatch(r"\w[\w -]*", n) for n in c.split("."))]
-
-    def grown(r: Repeated, at: tuple[str, ...]) -> Repeated:
-        children, known = [], {at + c.path for c in r.children}
-        below = [p for p in extra if len(p) > len(at) and p[: len(at)] == at and p not in known]
-        tops = [p for p in below if not any(p != k and p[: len(k)] == k for k in [*known, *below])]
-        for c in r.children:
-            children.append(grown(c, at + c.path))
-        for p in tops:
-            columns = {c.replace(".", "_"): _column(c) for c in extra[p]}
-            if "$." + ".".join(p) in scalars or not columns:
-                columns["value" if "value" not in columns else "_value"] = text
-            name = "_".join(p[len(at) :] if r is plan else (r.name, *p[len(at) :]))
-            children.append(grown(Repeated(name, p[len(at) :], columns), p))
-        return replace(r, children=tuple(children))
-
-    return grown(plan, ())
-
-
-def post_plans(raw: DataFrame) -> tuple[Repeated, Repeated]:
-    """The plan of landed posts, and that of what stands beside the posts in an envelope."""
-    graph = schema_graph(raw, "payload")
-    beside = [e for e in graph if e.path.startswith("$.") and e.path.replace("[]", "").split(".")[1] != POST_PLAN.path[-1]]
-    posts = _without_root(graph, POST_PLAN)
-    record = completed(Repeated("record", (), {}), _without_root(beside, replace(POST_PLAN, path=())))
-    new = tuple(replace(c, name=f"record_{c.name}") for c in record.children if c.path not in {k.path for k in POST_PLAN.children})
-    return completed(POST_PLAN, posts), replace(record, children=new)
+def post_plan(raw: DataFrame, payload: str = "payload") -> Plan:
+    """The plan of landed posts, derived from the schema graph of all payloads."""
+    graph = schema_graph(raw, payload, "posts")
+    root, *tables = _tables(_below_root(graph, "posts", OTHER_NAMES, False), DECLARED, "")
+    _, *beside = _tables(_below_root(graph, "posts", {}, True), {}, "record")
+    return Plan("post", "posts", (Table("post", (), (), root.columns), *tables), tuple(beside), tuple(OTHER_NAMES.items()), tuple((k, v) for k, (_, v) in LABELS.items()))
+
+
+class _Shredder:
+    """Lays the rows of the tables of a plan out of parsed payloads."""
+
+    def __init__(self, plan: Plan):
+        self.plan, self.other = plan, dict(plan.names)
+        self.posts, self.beside = self._index(plan.tables), self._index(plan.beside)
+        self.labels = dict(plan.labels)
+
+    def _index(self, tables) -> dict[tuple[str, ...], Table]:
+        return {t.path: t for t in tables}
+
+    def rows(self, v):
+        """(root ord, table, ords below the root, label, fields) of one payload."""
+        v = _open(v)
+        if type(v) not in (dict, list):
+            return
+        items = v
+        if type(v) is dict and self.plan.member in v:
+            items = v[self.plan.member]
+            if self.beside:
+                rest = {k: w for k, w in v.items() if k != self.plan.member}
+                yield from self._walk(rest, (), (), self.beside, -1, None)
+        items = _open(items)
+        for i, e in enumerate(items if type(items) is list else () if items is None else (items,)):
+            e = _open(e)
+            if type(e) is dict:
+                for a, b in self.other.items():
+                    if a in e:
+                        e = dict(e)
+                        w = e.pop(a)
+                        if e.get(b) is None:
+                            e[b] = w
+                fields: dict[str, str] = {}
+                below = list(self._walk(e, (), (), self.posts, i, fields))
+                yield i, self.plan.name, [], None, list(fields.items())
+                yield from below
+
+    def _walk(self, e: dict, path: tuple, ords: tuple, tables: dict, root: int, fields: dict | None, within: str = ""):
+        for k, w in e.items():
+            at = (*path, k)
+            w = _open(w)
+            t = tables.get(at)
+            if t is None and k in path and (up := path[: path.index(k) + 1]) in tables:
+                at, t = up, tables[up]  # an element below itself
+            if t is not None:
+                for i, x in enumerate(w if type(w) is list else () if w is None else (w,)):
+                    if x is None:
+                        continue
+                    x = _open(x)
+                    mine: dict[str, str] = {}
+                    here = (*ords, i)
+                    below = list(self._walk(x, at, here, tables, root, mine)) if type(x) is dict else []
+                    if type(x) not in (dict, list):
+                        mine[""] = _said(x)
+                    yield root, t.name, list(here), self._label(t.name, x), list(mine.items())
+                    yield from below
+                if fields is not None and type(w) not in (dict, list) and w is not None:
+                    fields[within + k] = _said(w)
+            elif type(w) is dict:
+                yield from self._walk(w, at, ords, tables, root, fields, f"{within}{k}.")
+            elif type(w) is not list and fields is not None and w is not None:
+                fields[within + k] = _said(w)
+
+    def _label(self, name: str, x) -> str | None:
+        ways = self.labels.get(name)
+        if ways is None:
+            return None
+        for way in ways:
+            v = x
+            for k in way:
+                v = _open(v.get(k)) if type(v) is dict else None
+            if (said := _said(v)) is not None:
+                return said
+        return ""
+
+
+def shred(df: DataFrame, keys: list[str], payload: str, plan: Plan) -> dict[str, DataFrame]:
+    """One table for each of the plan, in the shared folder.
+
+    A table has the caller's ``keys``, ``<root>_ord`` (the root element's place in the payload)
+    and ``<table>_ord`` for each table above (the foreign key), its own ``<name>_ord`` (the place
+    in its list, nulls counted) and the inlined columns; a recursive table has ``<name>_ords``,
+    the places from its outermost element down, of which all but the last lead to the parent.
+    The payloads are parsed once; all rows are written in one pass, a folder for each table.
+    """
+    kinds = pa.map_(pa.string(), pa.string())
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _Shredder(plan)
+        for b in batches:
+            rows: list[tuple] = []
+
+            def flush(rows: list[tuple], b: pa.RecordBatch = b) -> pa.RecordBatch:
+                at = pa.array([r[0] for r in rows], pa.int64())
+                columns = [b.column(i).take(at) for i in range(n)]
+                types = (pa.int32(), pa.string(), pa.list_(pa.int32()), pa.string(), kinds)
+                columns += [pa.array([r[i + 1] for r in rows], t) for i, t in enumerate(types)]
+                return pa.RecordBatch.from_arrays(columns, names=[*keys, "_root", "_table", "_ords", "_label", "_fields"])
+
+            for i, said in enumerate(b.column(n).to_pylist()):
+                if (v := _parsed(said)) is not None:
+                    try:
+                        rows += [(i, *r) for r in made.rows(v)]
+                    except RecursionError:  # nested deeper than any list of replies
+                        continue
+                if len(rows) >= BATCH_ROWS:
+                    yield flush(rows)
+                    rows = []
+            if rows:
+                yield flush(rows)
+
+    schema = T.StructType([*(df.schema[k] for k in keys), *T._parse_datatype_string("_root int, _table string, _ords array<int>, _label string, _fields map<string,string>").fields])
+    path = scratch(df.sparkSession, plan.name)
+    df.select(*keys, payload).where(F.col(payload).isNotNull()).mapInArrow(run, schema).write.partitionBy("_table").parquet(path)
+    stored = df.sparkSession.read.schema(schema).parquet(path)
+    out: dict[str, DataFrame] = {}
+    for t in (*plan.tables, *plan.beside):
+        ords = [F.col("_ords")[i].alias(f"{a}_ord") for i, a in enumerate(t.above)]
+        own = [] if t.name == plan.name else [F.element_at("_ords", -1).alias(f"{t.name}_ord")]
+        if t.recursive:
+            own.append(F.slice("_ords", len(t.above) + 1, F.size("_ords")).alias(f"{t.name}_ords"))
+        label = [F.col("_label").alias("label")] if t.name in dict(plan.labels) else []
+        taken = {*keys, f"{plan.name}_ord", "label", *(f"{a}_ord" for a in (*t.above, t.name))}
+        columns = [F.element_at("_fields", F.lit(".".join(way))).alias(name if name not in taken else f"{name}_value") for name, way in t.columns]
+        out[t.name] = stored.where(F.col("_table") == t.name).select(*keys, F.col("_root").alias(f"{plan.name}_ord"), *ords, *own, *label, *columns)
+    return out
 
 
 def post_tables(raw: DataFrame) -> dict[str, DataFrame]:
     """The tables of landed posts, keyed by rec_id."""
-    plan, record = post_plans(raw)
-    out = shred(raw, ["rec_id"], "payload", plan)
-    if record.children:
-        envelopes = raw.where(member(opened(F.try_parse_json("payload")), plan.path[-1]).isNotNull())
-        out |= {name: t for name, t in shred(envelopes, ["rec_id"], "payload", record).items() if name not in out}
-    return out
+    return shred(raw, ["rec_id"], "payload", post_plan(raw))
 
 
 def child_rows(tables: dict[str, DataFrame]) -> DataFrame:
-    """All child tables in one long form: (rec_id, post_ord, child, parent_ord, ord, label)."""
+    """The child tables in one long form: (rec_id, post_ord, child, parent_ord, ord, label).
+
+    A reply to a reply names the comment above both."""
     parts = []
-    for name, (above, label) in LABELS.items():
+    for name, (above, _) in LABELS.items():
         parent = F.col(f"{above}_ord") if above else F.lit(-1)
-        parts.append(tables[name].select("rec_id", "post_ord", F.lit(name).alias("child"), parent.alias("parent_ord"), F.col(f"{name}_ord").alias("ord"), F.coalesce(F.col(label), F.lit("")).alias("label")))
+        parts.append(tables[name].select("rec_id", "post_ord", F.lit(name).alias("child"), parent.alias("parent_ord"), F.col(f"{name}_ord").alias("ord"), F.coalesce(F.col("label"), F.lit("")).alias("label")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _long(v: Column, r: Repeated, parent: Column, above: bool) -> list[Column]:
-    """Arrays of (child, parent_ord, ord, label) of the table ``r`` below ``v``, and below it."""
-    label = LABELS[r.name][1]
-
-    def row(e: Column, i: Column) -> Column:
-        label_of = F.when(e.isNotNull() & ~F.is_variant_null(e), F.coalesce(r.columns[label](opened(e)), F.lit("")))
-        return F.struct(F.lit(r.name).alias("child"), (parent if above else F.lit(-1)).cast("int").alias("parent_ord"), i.cast("int").alias("ord"), label_of.alias("label"))
-
-    elements = as_list(_at(v, r))
-    out = [F.transform(elements, row)]
-    for c in r.children:
-        out.append(F.flatten(F.transform(elements, _below(c))))
-    return out
-
-
-def _below(c: Repeated):
-    return lambda e, i: F.concat(*_long(e, c, i, True))
-
-
-def child_rows_at_once(df: DataFrame, keys: list[str], payload: str, plan: Repeated) -> DataFrame:
-    """The rows of ``child_rows(shred(...))`` from one scan and one parse of each payload.
-
-    The children of a post are laid out inside its row.  No query uses this; the tests hold
-    the tables of ``shred`` against it.
-    """
-    root = df.select(*keys, opened(F.try_parse_json(F.col(payload))).alias("_v")).where(F.col("_v").isNotNull() & kind(F.col("_v")).isin("array", "object"))
-    start = F.when(kind(F.col("_v")) == "object", F.coalesce(member(F.col("_v"), plan.path[-1]), F.col("_v"))).otherwise(F.col("_v"))
-    posts = _elements(root, keys, start, f"{plan.name}_ord").where(kind(F.col("_v")) == "object")
-    each = F.concat(*[a for c in plan.children for a in _long(F.col("_v"), c, F.lit(-1), False)])
-    rows = posts.select(*keys, f"{plan.name}_ord", F.explode(F.filter(each, lambda x: x["label"].isNotNull())).alias("_e"))
-    return rows.select(*keys, f"{plan.name}_ord", "_e.child", "_e.parent_ord", "_e.ord", "_e.label")
-
-
 def p3_found(raw: DataFrame) -> DataFrame:
     """(rec_id, post_ord, child, parent_ord, ord, label): one row for each non-null element."""
     return child_rows(post_tables(raw))
