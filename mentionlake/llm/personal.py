@@ -40,6 +40,8 @@ NONE, EMAIL, PHONE, ID, ADDRESS, NAME = range(6)
 SAMPLE_ROWS, EPOCHS, ROUNDS, REACH = 3000, 25, 3, 3
 #: A text goes to message passing, as a whole, if some label is within this score of "none" at a token.
 NEAR = 5.0
+#: Beliefs in other labels than "none" that are not passed on along a skip edge.
+QUIET = 1e-4
 
 # Words that introduce or follow what they name, in the coarse form of a word.
 NAME_BEFORE = ("my name is", "jina langu ni", "naitwa", "ich heisse", "ich heiße", "je m'appelle", "regards ,", "ask for", "uliza", "muulizie", "demandez", "fragt nach", "thanks to", "asante sana", "merci a", "merci à", "danke an", "huyo", "nilihudumiwa na")
@@ -76,6 +78,13 @@ def fold(text: str) -> str:
     return text.translate(_FOLD) if not text.isascii() and _NEEDS_FOLD.search(text) else text
 
 
+def places(text: str) -> range | list[int]:
+    """For each character of the folded text, and its end, where it stands in the text itself."""
+    if fold(text) == text:
+        return range(len(text) + 1)
+    return [*(i for i, c in enumerate(text) if _FOLD.get(ord(c), c) is not None), len(text)]
+
+
 def _pattern(text: str) -> re.Pattern:
     return _MAILED if _SIGN.search(text) else _PLAIN
 
@@ -139,10 +148,22 @@ class Tokens:
 
 
 KINDS = ("edge", "email", "tag", "number", "like_phone", "like_id", "eight", "house", "initial", "lower", "capital", "upper", "mark", "known", "known_lower")
+#: Kinds of tokens that skip edges join.
+LINKED = ("lower", "capital", "upper", "email")
 NUMBERS = ("number", "like_phone", "like_id", "eight", "house")
 _KIND = {k: i for i, k in enumerate(KINDS)}
 
 
+def _by_first(cues: tuple[str, ...]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for c in cues:
+        out.setdefault(c.split()[0], []).append(c)
+    return out
+
+
+_BEFORE, _AFTER = _by_first(NAME_BEFORE), _by_first(NAME_AFTER)
+
+
 def cues(t: Tokens) -> np.ndarray:
     """Labels of the tokens of a text, by cues and shapes that are sure where they apply."""
     n, keys, kinds = len(t.keys), t.keys, t.kinds
@@ -184,7 +205,7 @@ def cues(t: Tokens) -> np.ndarray:
         y[a:b] = np.where(y[a:b] == NONE, ADDRESS, y[a:b])
     for i in range(n):  # names
         start = None
-        for cue in NAME_BEFORE:
+        for cue in _BEFORE.get(keys[i], ()):
             m = cue.count(" ") + 1
             if joined[i].startswith(cue) and (i + m >= n or joined[i] == cue or keys[i : i + m] == cue.split()):
                 start = i + m
@@ -199,7 +220,7 @@ def cues(t: Tokens) -> np.ndarray:
         if j - start >= 2:
             y[start:j] = np.where(y[start:j] == NONE, NAME, y[start:j])
     for i in range(n - 1):
-        if any(joined[i].startswith(c) for c in NAME_AFTER) and i >= 2:
+        if i >= 2 and any(joined[i].startswith(c) for c in _AFTER.get(keys[i], ())):
             a = i
             while a > 0 and a > i - 4 and kinds[a - 1] in (*words, "initial"):
                 a -= 1
@@ -211,11 +232,6 @@ def cues(t: Tokens) -> np.ndarray:
 _NAMELIKE = [_KIND[x] for x in ("capital", "upper", "known", "known_lower")]
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))
-
-
 class Field:
     """The field: emission tables by offset, transitions and the potential of skip edges."""
 
@@ -258,38 +274,71 @@ class Field:
             out[inner] += self.w[o + REACH][fw[inner + o]] + self.k[o + REACH][fk[inner + o]]
         return out, np.array(at, np.int64), (fw, fk)
 
-    def chain(self, e: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(forward, backward, log partition) of padded texts: e is (texts, tokens, labels)."""
+    def chain(self, e: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(forward, backward, log partition, emissions) of padded texts: e is (texts, tokens, labels).
+
+        Forward and backward messages are probabilities, brought to sum 1 at each token, so a
+        step is one product with the transitions; emissions are relative to the best label.
+        """
         n, most, k = e.shape
-        fwd, bwd = np.zeros_like(e), np.zeros_like(e)
-        fwd[:, 0] = e[:, 0]
-        for t in range(1, most):
-            step = _lse(fwd[:, t - 1][:, :, None] + self.move, 1) + e[:, t]
-            fwd[:, t] = np.where((t < lengths)[:, None], step, fwd[:, t - 1])
+        top = e.max(2)
+        em = np.ascontiguousarray(np.exp(e - top[:, :, None]).transpose(1, 0, 2))
+        move = np.exp(self.move)
+        fwd, bwd, sums = np.empty_like(em), np.empty_like(em), np.ones((most, n), np.float32)
+        short = int(lengths.min()) if n else 0
+        now = em[0]
+        for t in range(most):
+            if t:
+                now = (fwd[t - 1] @ move) * em[t]
+            total = now.sum(1)
+            now = now / total[:, None]
+            if t >= short:
+                live = t < lengths
+                now, total = np.where(live[:, None], now, fwd[t - 1]), np.where(live, total, 1)
+            fwd[t], sums[t] = now, total
+        back = move.T.copy()
+        bwd[most - 1] = 1 / k
         for t in range(most - 2, -1, -1):
-            step = _lse((bwd[:, t + 1] + e[:, t + 1])[:, None, :] + self.move, 2)
-            bwd[:, t] = np.where((t + 1 < lengths)[:, None], step, 0)
-        return fwd, bwd, _lse(fwd[:, -1], 1)
+            now = (bwd[t + 1] * em[t + 1]) @ back
+            now /= now.sum(1)[:, None]
+            bwd[t] = now if t + 1 < short else np.where((t + 1 < lengths)[:, None], now, 1 / k)
+        z = np.log(sums).sum(0) + np.where(np.arange(most) < lengths[:, None], top, 0).sum(1)
+        return fwd.transpose(1, 0, 2), bwd.transpose(1, 0, 2), z, em.transpose(1, 0, 2)
+
+    def _beliefs(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        fwd, bwd, _, _ = self.chain(e, lengths)
+        p = fwd * bwd
+        return p / p.sum(2, keepdims=True)
 
     def marginals(self, e: np.ndarray, lengths: np.ndarray, links: np.ndarray) -> np.ndarray:
-        """Loopy marginals; links: (text, token, token) of the skip edges."""
-        e0 = e.copy()
+        """Loopy marginals; links: (text, token, token) of the skip edges.
+
+        An edge whose ends both are ``none`` but for ``QUIET`` sends nothing that counts (its
+        message is under QUIET x exp(skip)), so later rounds take only the texts with another.
+        """
+        p = self._beliefs(e, lengths)
+        if len(links):
+            ends = np.maximum(1 - p[links[:, 0], links[:, 1], NONE], 1 - p[links[:, 0], links[:, 2], NONE])
+            links = links[ends > QUIET]
+        if not len(links):
+            return p
+        texts, at = np.unique(links[:, 0], return_inverse=True)
+        width = int(lengths[texts].max())
+        e0, sizes = e[texts, :width], lengths[texts]
         into = np.zeros((len(links), 2, e.shape[2]), np.float32)
-        gain = np.expm1(self.skip)
-        for _ in range(ROUNDS if len(links) else 1):
-            e = e0.copy()
-            for side in (0, 1):
-                np.add.at(e, (links[:, 0], links[:, 1 + side]), into[:, side])
-            fwd, bwd, z = self.chain(e, lengths)
-            belief = fwd + bwd - z[:, None, None]
+        gain, q = np.expm1(self.skip), p[texts, :width]
+        for _ in range(ROUNDS - 1):
             new = into.copy()
             for side in (0, 1):  # the message to one end: the other's belief without what came from here
-                b = belief[links[:, 0], links[:, 2 - side]] - into[:, 1 - side]
-                p = np.exp(b - b.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                new[:, side] = np.log1p(p * gain)
-            into = 0.5 * into + 0.5 * new if len(links) else into
-        return np.exp(belief - _lse(belief, 2)[:, :, None])
+                b = q[at, links[:, 2 - side]] * np.exp(-into[:, 1 - side])
+                new[:, side] = np.log1p(b / b.sum(1, keepdims=True) * gain)
+            into = 0.5 * into + 0.5 * new
+            now = e0.copy()
+            for side in (0, 1):
+                np.add.at(now, (at, links[:, 1 + side]), into[:, side])
+            q = self._beliefs(now, sizes)
+        p[texts, :width] = q
+        return p
 
 
 @functools.lru_cache(maxsize=200_000)
@@ -306,7 +355,7 @@ def skip_links(texts: list[Tokens]) -> np.ndarray:
     for i, t in enumerate(texts):
         last: dict[str, int] = {}
         for j, (key, kind) in enumerate(zip(t.keys, t.kinds)):
-            if kind in ("lower", "capital", "upper", "email") and len(key := alike(key)) > 3:
+            if kind in LINKED and len(key := alike(key)) > 3:
                 if key in last:
                     out.append((i, last[key], j))
                 last[key] = j
@@ -364,29 +413,31 @@ def train(texts: list[str], epochs: int = EPOCHS, rate: float = 0.3, l2: float =
             y = np.zeros((len(group), width), np.int64)
             for r, i in enumerate(group):
                 y[r, : lengths[r]] = gold[i]
-            fwd, bwd, z = field.chain(e, lengths)
-            p = np.exp(fwd + bwd - z[:, None, None])
+            fwd, bwd, _, em = field.chain(e, lengths)
+            p = fwd * bwd
+            p = p / p.sum(2, keepdims=True)
             diff = np.zeros_like(score)
             d = (np.eye(k, dtype=np.float32)[y] - p) * live[:, :, None]
             diff[index[live]] = d[live]
             if width > 1:
-                both = live[:, 1:]
-                pair = fwd[:, :-1, :, None] + field.move + (bwd[:, 1:] + e[:, 1:])[:, :, None, :] - z[:, None, None, None]
-                expect = (np.exp(pair) * both[:, :, None, None]).sum((0, 1))
+                both, move = live[:, 1:], np.exp(field.move)
+                left, right = fwd[:, :-1][both], (em[:, 1:] * bwd[:, 1:])[both]
+                left = left / ((left @ move) * right).sum(1, keepdims=True)
+                expect = move * (left.T @ right)
                 seen = np.zeros((k, k))
                 np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
                 grads_move = seen - expect
             else:
                 grads_move = np.zeros((k, k))
-            scale = 1.0
             inner = np.arange(REACH, len(fw) - REACH)
             gw, gk = np.zeros_like(field.w), np.zeros_like(field.k)
             hot = inner[np.abs(diff[inner]).max(1) > 1e-4]
+            put = diff[hot].astype(np.float64)
             for o in range(-REACH, REACH + 1):
-                np.add.at(gw[o + REACH], fw[hot + o], diff[hot])
-                np.add.at(gk[o + REACH], fk[hot + o], diff[hot])
+                gw[o + REACH] = np.bincount((fw[hot + o][:, None] * k + np.arange(k)).ravel(), put.ravel(), gw.shape[1] * k).reshape(-1, k)
+                gk[o + REACH] = np.bincount((fk[hot + o][:, None] * k + np.arange(k)).ravel(), put.ravel(), gk.shape[1] * k).reshape(-1, k)
             for a, grad, s in ((field.w, gw, sums[0]), (field.k, gk, sums[1]), (field.move, grads_move.astype(np.float32), sums[2])):
-                grad = grad * scale - l2 * a
+                grad = grad - l2 * a
                 s += grad * grad
                 a += rate * grad / np.sqrt(s)
     # The potential of a skip edge: how much more often its ends agree on a label than chance has it.
@@ -404,13 +455,15 @@ def train(texts: list[str], epochs: int = EPOCHS, rate: float = 0.3, l2: float =
 class Reader:
     """Scores texts by a field: each distinct token is classified once, then only looked up."""
 
-    def __init__(self, field: Field, most: int = 300_000):
-        self.field, self.most = field, most
+    def __init__(self, field: Field, most: int = 300_000, near: float | None = NEAR):
+        """near: the gate of message passing; None takes every text to it."""
+        self.field, self.most, self.near = field, most, near
         self.forget()
 
     def forget(self) -> None:
         self.seen: dict[str, int] = {}
-        self.word, self.kind = [0], [0]  # row 0 is an edge
+        self.word, self.kind, self.same = [0], [0], [-1]  # row 0 is an edge
+        self.likes: dict[str, int] = {}
 
     def rows(self, tokens: list[str]) -> list[int]:
         seen, out = self.seen, []
@@ -418,12 +471,25 @@ class Reader:
             i = seen.get(x)
             if i is None:
                 i = seen[x] = len(self.word)
-                word, kind = self.field.ids_of(*classify(x))
+                key, kind = classify(x)
+                word, k = self.field.ids_of(key, kind)
                 self.word.append(word)
-                self.kind.append(kind)
+                self.kind.append(k)
+                like = alike(key) if kind in LINKED else ""
+                self.same.append(self.likes.setdefault(like, len(self.likes)) if len(like) > 3 else -1)
             out.append(i)
         return out
 
+    @staticmethod
+    def links(same: np.ndarray) -> np.ndarray:
+        """Skip edges (text, token, token) from what each token is alike to (-1: nothing)."""
+        text, at = np.nonzero(same >= 0)
+        like = same[text, at]
+        order = np.lexsort((at, like, text))
+        text, at, like = text[order], at[order], like[order]
+        next_ = (text[1:] == text[:-1]) & (like[1:] == like[:-1])
+        return np.stack([text[:-1][next_], at[:-1][next_], at[1:][next_]], 1)
+
     def tag(self, texts: list[str | None]) -> list[tuple[Tokens, np.ndarray] | None]:
         """Per text: its tokens and their labels, or None where nothing comes near a label."""
         field, out = self.field, [None] * len(texts)
@@ -442,36 +508,36 @@ class Reader:
         if not live:
             return out
         row, words, kinds = np.array(flat, np.int64), np.array(self.word, np.int64), np.array(self.kind, np.int64)
+        same = np.array(self.same, np.int64)[row]
         used, row = np.unique(row, return_inverse=True)
         n = len(row)
         score = np.zeros((n - 2 * REACH, len(LABELS)), np.float32)
         for o in range(2 * REACH + 1):
             score += (field.w[o][words[used]] + field.k[o][kinds[used]])[row[o : n - 2 * REACH + o]]
-        near = score[:, 1:].max(1) - score[:, 0] > -NEAR
+        near = score[:, 1:].max(1) - score[:, 0] > -(np.inf if self.near is None else self.near)
         before = np.concatenate(([0], np.cumsum(near)))
         jobs = []
         for i, (a, b) in zip(live, at):
             a, b = a - REACH, b - REACH
             if before[b] > before[a]:
                 jobs.append((i, a, b - a))
-        tokens = [Tokens(texts[i]) for i, *_ in jobs]
         for group in _batches([n for *_, n in jobs]):
             lengths = np.array([jobs[g][2] for g in group])
             width = int(lengths.max())
             begin = np.array([jobs[g][1] for g in group])
             index = begin[:, None] + np.minimum(np.arange(width), lengths[:, None] - 1)
-            e = np.where((np.arange(width) < lengths[:, None])[:, :, None], score[index], 0)
-            p = field.marginals(e, lengths, skip_links([tokens[g] for g in group]))
-            best = p.argmax(2)
-            for r, g in enumerate(group):
-                labels = best[r, : lengths[r]]
-                if labels.any():
-                    out[jobs[g][0]] = (tokens[g], labels)
+            live = np.arange(width) < lengths[:, None]
+            e = np.where(live[:, :, None], score[index], 0)
+            p = field.marginals(e, lengths, self.links(np.where(live, same[index + REACH], -1)))
+            best = np.where(live, p.argmax(2), NONE)
+            for r in np.flatnonzero(best.any(1)):
+                i = jobs[group[r]][0]
+                out[i] = (Tokens(texts[i]), best[r, : lengths[r]])
         return out
 
 
-def tag(texts: list[str | None], field: Field) -> list[tuple[Tokens, np.ndarray] | None]:
-    return Reader(field).tag(texts)
+def tag(texts: list[str | None], field: Field, near: float | None = NEAR) -> list[tuple[Tokens, np.ndarray] | None]:
+    return Reader(field, near=near).tag(texts)
 
 
 def entities(tokens: Tokens, labels: np.ndarray) -> list[tuple[int, int, str]]:
@@ -511,28 +577,31 @@ def fit(posts: DataFrame, rows: int = SAMPLE_ROWS) -> Field:
     return train(marked + rest[: len(marked) // 2])
 
 
-def personal(posts: DataFrame, field: Field | None = None) -> DataFrame:
-    """(post_key, pos, text with typed placeholders, kinds found) of each text that holds any."""
+def personal(posts: DataFrame, field: Field | None = None, near: float | None = NEAR) -> DataFrame:
+    """(post_key, pos, text with typed placeholders, kinds found) of each text that holds any.
+
+    Entities are found in the folded text and replaced in the text itself, so all else stays
+    as it was written, letters of other scripts and separate accents included."""
     field = field or fit(posts)
     shared = posts.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(shared.value)
+        reader = Reader(shared.value, near=near)
         for b in frames(batches, "text"):
-            keys, places, clean, kinds = [], [], [], []
+            keys, positions, clean, kinds = [], [], [], []
             for key, pos, text, got in zip(b["post_key"], b["pos"], b["text"], reader.tag(b["text"].tolist())):
                 found = entities(*got) if got else []
                 if not found:
                     continue
-                folded, parts, last = fold(text), [], 0
+                at, parts, last = places(text), [], 0
                 for x, y, kind in found:
-                    parts += [folded[last:x], f"[{kind.upper()}]"]
-                    last = y
+                    parts += [text[last : at[x]], f"[{kind.upper()}]"]
+                    last = at[y]
                 keys.append(key)
-                places.append(pos)
-                clean.append("".join([*parts, folded[last:]]))
+                positions.append(pos)
+                clean.append("".join([*parts, text[last:]]))
                 kinds.append(sorted({k for _, _, k in found}))
-            yield pd.DataFrame({"post_key": np.array(keys, "int64"), "pos": np.array(places, "int32"), "text": np.array(clean, object), "kinds": pd.Series(kinds, dtype=object)})
+            yield pd.DataFrame({"post_key": np.array(keys, "int64"), "pos": np.array(positions, "int32"), "text": np.array(clean, object), "kinds": pd.Series(kinds, dtype=object)})
 
     return texts_of(posts).select("post_key", "pos", "text").mapInPandas(run, "post_key bigint, pos int, text string, kinds array<string>")
 

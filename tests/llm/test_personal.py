@@ -28,7 +28,7 @@ def test_chain_is_brute_force():
     f = P.Field({})
     f.move = rng.normal(0, 1, f.move.shape).astype(np.float32)
     e = rng.normal(0, 1, (1, 3, 6)).astype(np.float32)
-    _, _, z = f.chain(e, np.array([3]))
+    _, _, z, _ = f.chain(e, np.array([3]))
     score = [sum(e[0, t, p[t]] for t in range(3)) + f.move[p[0], p[1]] + f.move[p[1], p[2]] for p in product(range(6), repeat=3)]
     assert abs(float(z[0]) - float(np.log(np.sum(np.exp(score))))) < 1e-3
     m = f.marginals(e, np.array([3]), np.zeros((0, 3), int))
@@ -49,3 +49,21 @@ def test_training_carries_over(spark):
     assert {r.text for r in P.personal(posts, f).collect()} == {"My ID number is [ID_NUMBER]", "Call [PHONE] any time"}
     assert P.p4_found(posts.where("false"), f).count() == 0
     assert P.tag([None, "", "x" * 20_000], f) == [None, None, None]
+
+
+def test_the_rest_of_a_text_stays_as_it_is(spark):
+    f = P.train(TEXTS, epochs=15)
+    said = "Привет Москва, ресторан cafe\u0301 \uff21\u200b! Call 0195 451 124 any time, cafe\u0301 москва"
+    posts = spark.createDataFrame([(1, said, None, None)], SCHEMA)
+    assert P.personal(posts, f).first().text == said.replace("0195 451 124", "[PHONE]")
+    said = "Thanks to A\u0301nna\u200b Berg\u0301 at the front desk, Москва"
+    assert P.places(said)[-1] == len(said) and said[P.places("e\u0301x")[0] :][:1] == "T"
+    x, y, kind = P.entities(*P.tag(["Thanks to Anna Berg\u0301 at the front desk"], f)[0])[0]
+    at = P.places("Thanks to Anna Berg\u0301 at the front desk")
+    assert "Thanks to Anna Berg\u0301 at the front desk"[at[x] : at[y]] == "Anna Berg\u0301" and kind == "name"
+
+
+def test_the_gate_loses_nothing_here():
+    f = P.train(TEXTS, epochs=15)
+    told = lambda near: [P.entities(*x) if x else [] for x in P.tag(TEXTS, f, near)]
+    assert told(P.NEAR) == told(None)
