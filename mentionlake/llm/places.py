@@ -7,8 +7,9 @@ segments of it unchanged, at most k places away: so the segments of the names me
 substrings of the keys in an equality join, and ``levenshtein`` verifies what remains.
 An anti-join reports the values that met nothing, as place -1.
 
-A match is an equal key, one edit, or two neighbouring letters changed over (two edits);
-keys of under six letters must be equal.  Ties go to the fewer edits, then to the town
+A match is an equal key, or one within as many edits as the shorter of both bears: two from
+``LONG`` letters on, one from ``SHORT`` on, none below; two neighbouring letters changed over
+count as one.  Ties go to the fewer edits, then to the town
 whose county stands beside it, then to the earlier part, then to the gazetteer's order.
 Null and blank values give no row; repeated rows are kept apart by their key only.
 """
@@ -21,6 +22,8 @@ from mentionlake.llm.folding import _skeleton_maps
 from mentionlake.session import cut, small
 
 K = 2
+#: Letters from which a name bears one edit, and two (changing over two letters counts as one).
+SHORT, LONG = 4, 6
 # Words around a place that are no part of its name (coarse form).
 COUNTY_WORDS = r"\\b(county of|kaunti ya|comte de|county|cnty|kaunti|comte|co)\\b"
 TOWN_WORDS = r"\\b(city of|mji wa|city|town|municipality|cbd)\\b"
@@ -74,7 +77,7 @@ SELECT place_id, ord, kind, county_key, name, length(name) AS len FROM (
 SEGMENTS = f"""
 SELECT kind, name, len, i, substring(name, a + 1, b - a) AS seg FROM (
   SELECT kind, name, len, i, CAST(floor(i * len / {K + 1}) AS INT) AS a, CAST(floor((i + 1) * len / {K + 1}) AS INT) AS b
-  FROM (SELECT DISTINCT kind, name, len FROM {{names}} WHERE len >= 6) LATERAL VIEW explode(sequence(0, {K})) AS i
+  FROM (SELECT DISTINCT kind, name, len FROM {{names}} WHERE len >= {SHORT - 1}) LATERAL VIEW explode(sequence(0, {K})) AS i
 )
 """
 
@@ -82,8 +85,8 @@ PROBES = f"""
 SELECT DISTINCT kind, key, len, i, substring(key, p, b - a) AS seg FROM (
   SELECT kind, key, len, i, a, b, explode(sequence(greatest(a + 1 - {K}, 1), greatest(least(a + 1 + {K}, length(key) - (b - a) + 1), 1))) AS p FROM (
     SELECT kind, key, len, i, CAST(floor(i * len / {K + 1}) AS INT) AS a, CAST(floor((i + 1) * len / {K + 1}) AS INT) AS b
-    FROM (SELECT DISTINCT kind, key FROM {{parts}} WHERE length(key) >= 6)
-    LATERAL VIEW explode(sequence(greatest(length(key) - {K}, 6), length(key) + {K})) AS len LATERAL VIEW explode(sequence(0, {K})) AS i
+    FROM (SELECT DISTINCT kind, key FROM {{parts}} WHERE length(key) >= {SHORT - 1})
+    LATERAL VIEW explode(sequence(greatest(length(key) - {K}, {SHORT - 1}), length(key) + {K})) AS len LATERAL VIEW explode(sequence(0, {K})) AS i
   )
 )
 """
@@ -93,7 +96,8 @@ SELECT kind, key, name, d FROM (
   SELECT kind, key, name, levenshtein(key, name, {K}) AS d FROM (
     SELECT DISTINCT p.kind, p.key, s.name FROM {{probes}} p JOIN {{segments}} s ON p.kind = s.kind AND p.len = s.len AND p.i = s.i AND p.seg = s.seg
   )
-) WHERE d BETWEEN 0 AND 1 OR (d = 2 AND length(key) = length(name) AND array_sort(split(key, '')) = array_sort(split(name, '')))
+) WHERE d BETWEEN 0 AND CASE WHEN least(length(key), length(name)) >= {LONG} THEN 2 WHEN least(length(key), length(name)) >= {SHORT} THEN 1 ELSE 0 END
+  OR (d = 2 AND length(key) = length(name) AND length(key) >= {SHORT} AND array_sort(split(key, '')) = array_sort(split(name, '')))
 UNION
 SELECT DISTINCT p.kind, p.key, n.name, 0 AS d FROM {{parts}} p JOIN {{names}} n ON p.kind = n.kind AND p.key = n.name
 """
@@ -140,5 +144,5 @@ def map_places(posts: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 def p5_found(posts: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """(post_key, field, place_id): one row for each value that is not null or blank."""
-    mapped = small(cut(map_places(posts, gazetteer), "places"))
+    mapped = small(map_places(posts, gazetteer))
     return posts.sparkSession.sql(FOUND, posts=posts, mapped=mapped)
