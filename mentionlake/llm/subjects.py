@@ -25,7 +25,7 @@ label that is no subject counts as none; without any labels there are no subject
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +37,8 @@ from mentionlake.llm.folding import _skeleton_maps
 from mentionlake.session import sampled
 
 SAMPLE_DOCS, EXTRA_DOCS, ROUNDS, MOST, BEAM = 3000, 3000, 6, 2, 6
+#: Bound on the distinct terms of the evaluation items, which come to the driver.
+MOST_TERMS = 2_000_000
 #: A sentence has a subject from these log-odds against the background on.
 LEAST_ODDS = 3.0
 #: Standard errors that are taken off each log-odds.
@@ -48,21 +50,35 @@ _STOP = re.compile(r"[.!?…]+(?=\s|$)|[\n\r|]+")
 _SPEAKER = re.compile(r"^\s*(?:[>*+\-•#★☆\d:.\[\]()]+\s*)*(?:@[\w.]+:?\s*)?")
 _WORD = re.compile(r"[^\W\d_]+")
 _MAPS = _skeleton_maps()
-_FOLD = {ord(a): b for a, b in zip(_MAPS[0], _MAPS[1])} | {ord(a): None for a in _MAPS[0][len(_MAPS[1]) :]}
+_TAGS = re.compile(r"[#@]\S+")
+_FOLD = dict(zip(_MAPS[0], _MAPS[1])) | {a: "" for a in _MAPS[0][len(_MAPS[1]) :]}
+_FOLDED = re.compile("[" + "".join(map(re.escape, _FOLD)) + "]")
+
+
+def _coarse(text: str) -> str:
+    return (text if text.isascii() else _FOLDED.sub(lambda m: _FOLD[m.group()], text)).lower()
 
 
 def sentences(text: str | None) -> list[list[str]]:
     """The sentences of a text, as words in a coarse form."""
     out = []
-    for s in _STOP.split((text or "").translate(_FOLD).lower()):
-        w = _WORD.findall(re.sub(r"[#@]\S+", " ", _SPEAKER.sub("", s)))
+    for s in _STOP.split(_coarse(text or "")):
+        s = s[_SPEAKER.match(s).end() :]
+        if "#" in s or "@" in s:
+            s = _TAGS.sub(" ", s)
+        w = _WORD.findall(s)
         if len(w) >= 3:
             out.append(w)
     return out
 
 
-def terms(words: list[str]) -> set[str]:
-    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
+def terms(words: list[str]) -> set:
+    """The distinct words and pairs of neighbouring words."""
+    return {*words, *zip(words, words[1:])}
+
+
+def _order(term) -> str:
+    return term if type(term) is str else " ".join(term)
 
 
 class Terms:
@@ -104,22 +120,21 @@ class Terms:
         self.stock = {s for s, c in seen.items() if c.sum() >= STOCK_SEEN and c.max() < STOCK_SHARE * c.sum()}
         return np.array([s in self.stock for s in keys], bool)
 
-    def fit(self, docs: list[list[list[str]]], labels: list[set[int] | None], background: list[list[str]]) -> None:
-        """labels: of each document, or None where it has none known."""
+    def fit(self, docs: list[list[list[str]]], labels: list[set[int] | None], background: dict) -> None:
+        """labels: of each document, or None where it has none known; background: term -> in how
+        many sentences that have no subject it stands."""
         k = len(self.subjects)
-        count: dict[str, int] = {}
+        count: dict = {}
         for d in docs:
             for w in d:
                 for t in terms(w):
                     count[t] = count.get(t, 0) + 1
-        for w in background:
-            for t in terms(w):
-                count[t] = count.get(t, 0) + 1
-        self.index = {t: i for i, t in enumerate(sorted(t for t, n in count.items() if n >= 3))}
+        for t, n in background.items():
+            count[t] = count.get(t, 0) + n
+        self.index = {t: i for i, t in enumerate(sorted((t for t, n in count.items() if n >= 3), key=_order))}
         sents = [w for d in docs for w in d]
         of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         ids, ends = self.rows(sents)
-        back_ids, _ = self.rows(background)
         size = np.diff(ends)
         at = np.repeat(np.arange(len(sents)), size)
         allowed = np.zeros((len(docs), k), bool)
@@ -130,7 +145,10 @@ class Terms:
             self.odds = np.zeros((len(self.index), k), np.float32)
             return
         n = len(self.index)
-        back0 = np.bincount(back_ids, minlength=n).astype(float)
+        back0 = np.zeros(n)
+        for t, c in background.items():
+            if t in self.index:
+                back0[self.index[t]] = c
         # Start: the sentences of labelled documents belong to their labels in equal shares.
         post = np.where(allowed[of] & known[of][:, None], 1.0, 0.0)
         post /= np.maximum(post.sum(1, keepdims=True), 1)
@@ -239,13 +257,40 @@ def _scored(model: Terms, texts: list) -> tuple[np.ndarray, np.ndarray]:
     return model.score([w for d in docs for w in d]), of
 
 
-def train(rows: list[tuple], subjects: list[str], background: list[str]) -> tuple[Terms, Chain]:
-    """From (text, source, form, labels or None) of sampled documents."""
+def counted(texts: Iterable[str | None]) -> dict:
+    """term -> the number of sentences of the texts that hold it."""
+    out: dict = {}
+    for text in texts:
+        for w in sentences(text):
+            for t in terms(w):
+                out[t] = out.get(t, 0) + 1
+    return out
+
+
+def item_terms(items: DataFrame) -> dict:
+    """``counted`` over the texts of all items, in partial counts; more than MOST_TERMS is an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in frames(batches, "text"):
+            found = counted(b["text"])
+            yield pd.DataFrame({"term": np.array([_order(t) for t in found], object), "n": np.array(list(found.values()), "int64")})
+
+    sums = items.select("text").where(F.col("text").isNotNull()).mapInPandas(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = sums.limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"evaluation items of more than {MOST_TERMS} terms")
+    return {tuple(r.term.split(" ")) if " " in r.term else r.term: r.n for r in rows}
+
+
+def train(rows: list[tuple], subjects: list[str], background: dict | Iterable[str]) -> tuple[Terms, Chain]:
+    """From (text, source, form, labels or None) of sampled documents; background: texts without a
+    subject, or their ``counted`` terms."""
+    background = background if isinstance(background, dict) else counted(background)
     at = {s: i for i, s in enumerate(subjects)}
     docs = [sentences(r[0]) for r in rows]
     labels = [None if r[3] is None else {at[x] for x in r[3] if x in at} for r in rows]
     model = Terms(subjects)
-    model.fit(docs, labels, [w for t in background for w in sentences(t)])
+    model.fit(docs, labels, background)
     kept = [i for i, x in enumerate(labels) if x is not None]
     chain = Chain(subjects, sorted({r[1] for r in rows if r[1]}), sorted({r[2] for r in rows if r[2]}))
     of = np.repeat(np.arange(len(kept)), [len(docs[i]) for i in kept])
@@ -269,8 +314,7 @@ def sample(documents: DataFrame, labels: DataFrame, labelled: int = SAMPLE_DOCS,
 
 def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, items: DataFrame | None = None) -> tuple[Terms, Chain]:
     names = [r.subject for r in subjects.orderBy("ord", "subject").collect()]
-    said = [r.text for r in items.orderBy("item_id").limit(5000).collect()] if items is not None else []
-    return train(sample(documents, labels), names, said)
+    return train(sample(documents, labels), names, item_terms(items) if items is not None else {})
 
 
 def subjects_of(documents: DataFrame, model: tuple[Terms, Chain]) -> DataFrame:
