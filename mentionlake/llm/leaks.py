@@ -3,10 +3,15 @@
 Texts become words in one coarse form (case, accents, look-alikes, unseen signs and
 punctuation set aside).  Of every ``window`` neighbouring hashes of ``k`` words the least
 is kept, so two texts that share window + k - 1 words in a row share a kept hash; with the
-default of 3 and 2 that is any four words.  The kept hashes of the items and of the
-documents meet in a join; pairs with one hash in common are candidates; each is extended to the
-longest chain of words common to both in order, stepping over a changed or inserted word
-or two, and counts if the chain spans ``least`` words of the item.
+default of 3 and 2 that is any four words.  The kept hashes of the items meet those of the
+documents where the documents are read: the items are the query set, so their hashes go to
+the workers as sorted arrays, and documents are neither moved nor read twice.  A pair with
+one hash in common is a candidate; it is extended to the longest chain of words common to
+both in order, stepping over a changed or inserted word or two, and counts if the chain
+spans ``least`` words of the item.
+
+Items of more than ``BLOCK_BYTES`` are taken in blocks of that size, each held against all
+documents; the pairs of all blocks then meet by document, as chains of a document compete.
 
 Items share turns of phrase.  Within a document the chains are taken from the longest
 down, and a chain counts only for words that no longer chain holds already; so a turn that
@@ -19,72 +24,141 @@ than the key and the text are not read.
 
 from __future__ import annotations
 
-import functools
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mentionlake.functions.binding import let
-from mentionlake.llm.folding import skeleton
-from mentionlake.session import cut, parallel, small
+from mentionlake.llm.batches import frames
+from mentionlake.llm.folding import _skeleton_maps
+from mentionlake.session import cut, parallel
 
 K, WINDOW, LEAST, STEP = 3, 2, 12, 3
-#: Items up to this number are sent to the workers as one list.
-LISTED_ITEMS = 20_000
+#: Bytes of the texts of items that go to the workers at once.
+BLOCK_BYTES = 16_000_000
+_MAPS = _skeleton_maps()
+_FOLD = dict(zip(_MAPS[0], _MAPS[1])) | {c: "" for c in _MAPS[0][len(_MAPS[1]) :]} | {chr(c): "" for c in range(0x300, 0x370)}
+_FOLDED = re.compile("[" + "".join(map(re.escape, _FOLD)) + "]")
+_WORD = re.compile(r"[^\W_]+")
 
 
-def words(text: Column) -> Column:
+def words(text: str | None) -> list[str]:
     """The words of a text: runs of letters and digits of its coarse form."""
-    return F.regexp_extract_all(skeleton(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-
-
-def kept_hashes(w: Column, k: int = K, window: int = WINDOW) -> Column:
-    """The winnowed fingerprints of an array of words."""
-    none = F.expr("cast(array() as array<bigint>)")
-
-    def grams(w: Column) -> Column:
-        return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k)))).otherwise(none)
-
-    def least(g: Column) -> Column:
-        return F.when(F.size(g) > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - window + 1, F.lit(1))), lambda i: F.array_min(F.slice(g, i, window))))).otherwise(none)
-
-    return let(let(w, grams), least)
-
-
-@functools.lru_cache(maxsize=50_000)
-def _prepared(item: tuple[str, ...], k: int) -> tuple[list[tuple], dict[str, list[int]]]:
-    """The k-grams of an item, and where each of its words stands."""
-    at: dict[str, list[int]] = {}
-    for i, w in enumerate(item):
-        at.setdefault(w, []).append(i)
-    return [item[i : i + k] for i in range(len(item) - k + 1)], at
+    if not text:
+        return []
+    return _WORD.findall((text if text.isascii() else _FOLDED.sub(lambda m: _FOLD[m.group()], text)).lower())
+
+
+class Codes:
+    """64-bit hashes of words, kept for the words that were seen lately."""
+
+    def __init__(self, most: int = 500_000):
+        self.seen: dict[str, int] = {}
+        self.most = most
+
+    def __call__(self, said: list[str]) -> list[int]:
+        seen = self.seen
+        if len(seen) > self.most:
+            seen.clear()
+        out = []
+        for w in said:
+            c = seen.get(w)
+            if c is None:
+                c = seen[w] = xxhash.xxh64_intdigest(w)
+            out.append(c)
+        return out
+
+
+def gram_hashes(codes: np.ndarray, k: int = K) -> np.ndarray:
+    """Hashes of all runs of k words, by their order."""
+    n = max(len(codes) - k + 1, 0)
+    h = np.zeros(n, np.uint64)
+    for j in range(k):
+        h = (h ^ codes[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def kept_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """For each gram the least of the window that begins with it, and whether it counts.
+
+    first, last: of each gram, the first and the last one of its text; a text of fewer grams
+    than the window has one window of all."""
+    low, at = h.copy(), np.arange(len(h))
+    for j in range(1, window):
+        inside = at + j <= last
+        low[inside] = np.minimum(low[inside], h[at[inside] + j])
+    return low, (at + window - 1 <= last) | (at == first)
+
+
+class Item:
+    """One text of the items: its ids (the least first), k-grams, and where each word stands."""
+
+    def __init__(self, ids: list[int], said: list[str], k: int = K):
+        self.ids, self.at = sorted(ids), {}
+        for i, w in enumerate(said):
+            self.at.setdefault(w, []).append(i)
+        self.hashes = gram_hashes(np.array(Codes()(said), np.uint64), k)
+        self.grams = self.hashes.tolist()
+
+
+class Items:
+    """A block of items, and which of them keep a hash."""
+
+    def __init__(self, rows: list[tuple[int, str | None]], k: int = K, window: int = WINDOW):
+        by_text: dict[tuple, list[int]] = {}
+        for i, text in rows:
+            said = tuple(words(text))
+            if len(said) >= k:
+                by_text.setdefault(said, []).append(i)
+        self.all = [Item(ids, list(said), k) for said, ids in sorted(by_text.items())]
+        pairs: set[tuple[int, int]] = set()
+        for n, item in enumerate(self.all):
+            size = len(item.hashes)
+            low, counts = kept_hashes(item.hashes, np.zeros(size, int), np.full(size, size - 1), window)
+            pairs |= {(h, n) for h in low[counts].tolist()}
+        rows_ = sorted(pairs)
+        self.kept = np.array([h for h, _ in rows_], np.uint64)
+        self.of = np.array([n for _, n in rows_], np.int64)
+        self.every = np.unique(np.concatenate([i.hashes for i in self.all])) if self.all else np.zeros(0, np.uint64)
+
+    def having(self, h: np.ndarray) -> np.ndarray:
+        """The items that keep any of the hashes."""
+        lo, hi = np.searchsorted(self.kept, h, "left"), np.searchsorted(self.kept, h, "right")
+        return np.unique(np.concatenate([self.of[a:b] for a, b in zip(lo, hi)]))
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is one of a sorted array."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 class Text:
     """The words of a document with the places of its k-grams; words may be taken out."""
 
-    def __init__(self, words: list[str], k: int = K):
-        self.words: list[str | None] = list(words)
-        self.grams: dict[tuple, list[int]] = {}
-        for d in range(len(words) - k + 1):
-            self.grams.setdefault(tuple(words[d : d + k]), []).append(d)
+    def __init__(self, said: list[str], grams: dict[int, list[int]]):
+        self.words: list[str | None] = list(said)
+        self.grams = grams
 
     def take(self, begin: int, end: int) -> None:
         self.words[begin:end] = [None] * (end - begin)
 
 
-def chain(item: tuple[str, ...] | list[str], doc: Text, k: int = K, step: int = STEP, around: int = 16, fewest: int = 1) -> list[tuple[int, int]]:
+def chain(item: Item, doc: Text, k: int = K, step: int = STEP, around: int = 16, fewest: int = 1) -> list[tuple[int, int]]:
     """The longest chain of (item position, document position) of equal words in order.
 
     A link steps over at most step - 1 words on either side.  Only stretches of the
     document near k-grams of the item are searched, and none if they hold under ``fewest``
     words of the item.
     """
-    words, near = doc.words, set()
-    grams, at = _prepared(tuple(item), k)
-    for g in grams:
+    words, near, at = doc.words, set(), item.at
+    for g in item.grams:
         for d in doc.grams.get(g, ()):
             if words[d] is not None:
                 near.update(range(max(0, d - around), min(len(words), d + k + around)))
@@ -119,54 +193,99 @@ def _counts(c: list[tuple[int, int]], least: int) -> bool:
     return bool(c) and (span := c[-1][0] - c[0][0] + 1) >= least and 3 * len(c) >= 2 * span
 
 
-def leaked(doc: list[str], items: list[tuple[int, list[str]]], least: int = LEAST) -> list[tuple[int, int]]:
+def leaked(free: Text, items: list[Item], least: int = LEAST) -> list[tuple[int, int]]:
     """(item id, words spanned) of the items that leaked into one document."""
-    same: dict[tuple, list[int]] = {}
-    for item_id, item in items:
-        same.setdefault(tuple(item), []).append(item_id)
-    free, out = Text(doc), []
-    waiting = [(len(c), -min(ids), item, c) for item, ids in same.items() if _counts(c := chain(item, free, fewest=2 * least // 3), least)]
+    out = []
+    waiting = [(len(c), -item.ids[0], item, c) for item in items if _counts(c := chain(item, free, fewest=2 * least // 3), least)]
     while waiting:
         waiting.sort(key=lambda x: x[:2])
         _, _, item, c = waiting.pop()
         if any(free.words[d] is None for _, d in c):  # part of it belongs to a longer chain: look at the rest
             if _counts(c := chain(item, free, fewest=2 * least // 3), least):
-                waiting.append((len(c), -min(same[item]), item, c))
+                waiting.append((len(c), -item.ids[0], item, c))
             continue
-        out += [(i, c[-1][0] - c[0][0] + 1) for i in same[item]]
+        out += [(i, c[-1][0] - c[0][0] + 1) for i in item.ids]
         free.take(c[0][1], c[-1][1] + 1)
     return out
 
 
+def candidates(texts: list[str | None], items: Items, codes: Codes, k: int = K, window: int = WINDOW) -> Iterator[tuple[int, Text, list[Item]]]:
+    """(place in the list, text, items) of the texts that share a kept hash with an item."""
+    said = [words(t) for t in texts]
+    flat = np.array(codes([w for s in said for w in s]), np.uint64)
+    size = np.array([len(s) for s in said], np.int64)
+    begin = np.concatenate(([0], np.cumsum(size)))[:-1]
+    h = gram_hashes(flat, k)
+    if not len(h) or not len(items.kept):
+        return
+    of = np.repeat(np.arange(len(said)), size)[: len(h)]
+    last = (begin + size - k)[of]  # the last gram that lies in the text whole
+    at = np.arange(len(h))
+    valid = at <= last
+    low, counts = kept_hashes(h, begin[of], last, window)
+    hit = np.flatnonzero(valid & counts & _among(low, items.kept))
+    if not len(hit):
+        return
+    whole = valid & _among(h, items.every)
+    for d, some in zip(*(lambda u, i: (u, np.split(hit, i[1:])))(*np.unique(of[hit], return_index=True))):
+        b, e = begin[d], begin[d] + size[d]
+        grams: dict[int, list[int]] = {}
+        for p in np.flatnonzero(whole[b:e]).tolist():
+            grams.setdefault(int(h[b + p]), []).append(p)
+        yield int(d), Text(said[d], grams), [items.all[n] for n in items.having(np.unique(low[some])).tolist()]
+
+
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
+    """The items in blocks of about BLOCK_BYTES, each brought to the driver by itself."""
+    rows = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+    n = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES
+    for i in range(n):
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
+        yield [(r.item_id, r.text) for r in part.collect()]
+
+
+def _scanned(documents: DataFrame, rows: list[tuple[int, str | None]], k: int, window: int, least: int, last: bool) -> DataFrame:
+    """(doc_id, item_id, span) of one block; unless it is the ``last``, chains do not compete yet."""
+    shared = documents.sparkSession.sparkContext.broadcast(Items(rows, k, window))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items, codes = shared.value, Codes()
+        for b in frames(batches, "text"):
+            out, keys = [], b["doc_id"].to_numpy()
+            for d, text, some in candidates(b["text"].tolist(), items, codes, k, window):
+                if last:
+                    out += [(keys[d], i, n) for i, n in leaked(text, some, least)]
+                else:
+                    out += [(keys[d], i, len(c)) for item in some if _counts(c := chain(item, text, fewest=2 * least // 3), least) for i in item.ids]
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "span"]).astype({"doc_id": "int64", "item_id": "int64", "span": "int32"})
+
+    return documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(run, "doc_id bigint, item_id bigint, span int")
+
+
 def leaks(documents: DataFrame, items: DataFrame, k: int = K, window: int = WINDOW, least: int = LEAST) -> DataFrame:
     """(doc_id, item_id, span): the items of which a document holds a passage."""
-    it = items.select("item_id", words(F.col("text")).alias("item_words"))
-    prints = it.select("item_id", F.explode(kept_hashes(F.col("item_words"), k, window)).alias("h")).groupBy("h").agg(F.collect_set("item_id").alias("ids"))
-    docs = documents.select("doc_id", words(F.col("text")).alias("w"))
-    hits = docs.select("doc_id", F.explode(kept_hashes(F.col("w"), k, window)).alias("h")).join(small(prints), "h")
-    pairs = hits.select("doc_id", F.explode("ids").alias("item_id")).distinct()
-    pairs = cut(pairs, "pairs")
-    # While few documents have candidates, their keys pick them at the scan and no other text moves.
-    some = documents.select("doc_id", "text").join(small(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
-    # A list of items of checked size goes to the workers once; a longer one travels with its candidates.
-    listed = it.limit(LISTED_ITEMS + 1).count() <= LISTED_ITEMS
-    shared = documents.sparkSession.sparkContext.broadcast({r.item_id: tuple(r.item_words) for r in it.collect()} if listed else {})
-    with_items = pairs if listed else pairs.join(it, "item_id")
-    item = F.struct("item_id", F.expr("cast(null as array<string>)").alias("item_words")) if listed else F.struct("item_id", "item_words")
-    with_items = with_items.groupBy("doc_id").agg(F.collect_list(item).alias("items"))
-    # The words of a document are made again only where a candidate remains.
-    rows = some.join(with_items, "doc_id").select("doc_id", words(F.col("text")).alias("w"), "items").repartition(parallel(documents.sparkSession), "doc_id")
+    blocks = _blocks(items)
+    first, rest = next(blocks), next(blocks, None)
+    if rest is None:
+        return _scanned(documents, first, k, window, least, True)
+    pairs = None
+    for rows in (first, rest, *blocks):
+        found = cut(_scanned(documents, rows, k, window, least, False), "pairs")
+        pairs = found if pairs is None else pairs.union(found)
+    # Chains of a document compete over all blocks: its text meets the items that it holds a chain of.
+    held = pairs.join(items.select("item_id", F.col("text").alias("item_text")), "item_id").groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "item_text")).alias("items"))
+    both = documents.select("doc_id", "text").join(held, "doc_id").repartition(parallel(documents.sparkSession), "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        for b in batches:
+        codes = Codes()
+        for b in frames(batches, "text"):
             out = []
-            for doc_id, w, cand in zip(b["doc_id"], b["w"], b["items"]):
-                items_here = [(i, known[i] if listed else tuple(c["item_words"])) for c in cand for i in (int(c["item_id"]),)]
-                out += [(doc_id, i, n) for i, n in leaked(w.tolist(), items_here, least)]
+            for key, text, some in zip(b["doc_id"], b["text"], b["items"]):
+                own = Items([(int(x["item_id"]), x["item_text"]) for x in some], k, window)
+                out += [(key, i, n) for _, t, cand in candidates([text], own, codes, k, window) for i, n in leaked(t, cand, least)]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "span"]).astype({"doc_id": "int64", "item_id": "int64", "span": "int32"})
 
-    return rows.mapInPandas(run, "doc_id bigint, item_id bigint, span int")
+    return both.mapInPandas(run, "doc_id bigint, item_id bigint, span int")
 
 
 def p9_found(documents: DataFrame, items: DataFrame) -> DataFrame:
