@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import sys
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -270,3 +271,12 @@ def skeleton(c: Column) -> Column:
     """
     a, b = _skeleton_maps()
     return F.lower(F.translate(F.regexp_replace(c, "[\\u0300-\\u036F]", ""), a, b))
+
+
+_COARSE = dict(zip(*(m for m in _skeleton_maps()))) | {c: "" for c in _skeleton_maps()[0][len(_skeleton_maps()[1]) :]} | {chr(c): "" for c in range(0x300, 0x370)}
+_COARSE_SIGNS = re.compile("[" + "".join(map(re.escape, _COARSE)) + "]")
+
+
+def coarse(text: str) -> str:
+    """``skeleton`` of one text, for use inside Arrow batches."""
+    return (text if text.isascii() else _COARSE_SIGNS.sub(lambda m: _COARSE[m.group()], text)).lower()
