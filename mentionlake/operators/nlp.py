@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from mentionlake import lexicon as L
 from mentionlake.functions import text as X
 from mentionlake.functions.binding import let
+from mentionlake.session import cut
 
 #: Least lengths of trimmed texts for language, sentiment and comments.
 LEAST_LANGUAGE, LEAST_SENTIMENT, LEAST_COMMENT = 10, 5, 5
@@ -190,7 +191,7 @@ def scored_by(text: Column, lang: Column, scorers: Mapping) -> Column:
         for texts, langs in batches:
             yield _rows(_route(texts, langs, chains, models))
 
-    return run(text, lang)
+    return run.asNondeterministic()(text, lang)  # never copied by the optimizer: a model runs once
 
 
 def scored_each(texts: Column, langs: Column, scorers: Mapping) -> Column:
@@ -209,7 +210,7 @@ def scored_each(texts: Column, langs: Column, scorers: Mapping) -> Column:
                 at += len(x)
             yield pd.Series(out)
 
-    return run(texts, langs)
+    return run.asNondeterministic()(texts, langs)
 
 
 def sentiment(df: DataFrame, text: str, lang: str, scorers: Mapping | None = None, keyword_text: str | None = None) -> DataFrame:
@@ -241,7 +242,7 @@ def _long_comments(comments: str, most: int) -> Column:
     return F.filter(first, lambda c: F.length(F.trim(F.coalesce(c["text"], F.lit("")))) >= LEAST_COMMENT)
 
 
-def comment_details(df: DataFrame, comments: str, most: int, scorers: Mapping | None = None, chars: int = 100) -> Column:
+def comment_details(df: DataFrame, comments: str, most: int, chars: int = 100) -> Column:
     """array<struct<text, score, label, provider>> of the first ``most`` comments, those of under
     five characters left out, each in its own language; texts are cut to ``chars`` for display,
     after they are scored."""
@@ -255,11 +256,24 @@ def comment_details(df: DataFrame, comments: str, most: int, scorers: Mapping |
 
     kept = _long_comments(comments, most)
     plain = F.transform(kept, by_lexicon)
+    return plain
+
+
+def with_comment_details(df: DataFrame, name: str, comments: str, most: int, scorers: Mapping | None = None, chars: int = 100) -> DataFrame:
+    """Adds ``comment_details``; comments of a language that has scorers are scored by those.
+
+    With scorers the texts are written before and their scores after the models ran, so a model
+    runs once whatever reads the result."""
+    plain = comment_details(df, comments, most, chars)
     if not scorers:
-        return plain
-    models = scored_each(F.transform(kept, lambda c: c["text"]), F.transform(kept, lambda c: language(c["text"])["language"]), scorers)
-    both = F.arrays_zip(plain.alias("a"), models.alias("b"), kept.alias("c"))
-    return F.transform(both, lambda z: F.when(z["b"]["provider"].isNotNull(), told(z["c"], z["b"]["score"], z["b"]["provider"])).otherwise(z["a"]))
+        return df.withColumn(name, plain)
+    kept = _long_comments(comments, most)
+    rows = df.withColumns({"_plain_details": plain, "_texts": F.transform(kept, lambda c: c["text"]), "_langs": F.transform(kept, lambda c: language(c["text"])["language"])})
+    rows = cut(cut(rows, "comments").withColumn("_models", scored_each(F.col("_texts"), F.col("_langs"), scorers)), "scored")
+    by_model = F.transform(F.arrays_zip("_plain_details", "_models"), lambda z: F.when(z["_models"]["provider"].isNull(), z["_plain_details"]).otherwise(
+        F.struct(z["_plain_details"]["text"].alias("text"), z["_models"]["score"].alias("score"), label_of(z["_models"]["score"]).alias("label"), z["_models"]["provider"].alias("provider"))
+    ))
+    return rows.withColumn(name, by_model).drop("_plain_details", "_texts", "_langs", "_models")
 
 
 def mean_score(details: Column) -> Column:
@@ -282,6 +296,6 @@ def annotate_nlp(df: DataFrame, max_comments: int = 20, hint: str | None = None,
     out = sentiment(plain, "_plain", "_lang", scorers, "_all")
     out = out.withColumn("tone", tone(F.col("score"), F.size("positive"), F.size("negative")))
     if comments and max_comments > 0:
-        out = out.withColumn("_details", comment_details(out, "comment_texts", max_comments, scorers))
+        out = with_comment_details(out, "_details", "comment_texts", max_comments, scorers)
         out = out.withColumns({"comment_score": mean_score(F.col("_details")), "comment_details": F.when(F.size("_details") > 0, F.col("_details"))}).drop("_details")
     return out.drop("_plain", "_all", "_lang")

@@ -57,7 +57,7 @@ def test_comment_details(spark):
     out = df.select("k", nlp.comment_details(df, "comment_texts", 20).alias("d"), nlp.comment_scores(df, "comment_texts", 20).alias("s"), nlp.comment_scores(df, "comment_texts", 1).alias("first")).orderBy("k").collect()
     assert [(c.score, c.label, len(c.text)) for c in out[0].d] == [(-1.0, "negative", 14), (1.0, "positive", 100)]
     assert (out[0].s, out[0].first, out[1].s, out[2].s) == (0.0, -1.0, None, None)
-    routed = df.select(nlp.comment_details(df, "comment_texts", 20, {"unknown": LOCAL, "english": LOCAL}).alias("d")).first().d
+    routed = nlp.with_comment_details(df, "d", "comment_texts", 20, {"unknown": LOCAL, "english": LOCAL}).where("k = 'x'").first().d
     assert {c.provider for c in routed} == {"local"}
 
 
